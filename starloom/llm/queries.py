@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import chat, decontaminate, dedup, mixing
+from starloom.llm import chat, decontaminate, dedup, mixing, neardup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +45,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 _OP3 = r"""
@@ -139,4 +144,23 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": _OP3, "op4_mix_sources": _OP4, "op5_exact_dedup": _OP5, "op6_decontaminate": _OP6}
+_OP8 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all({_AZ}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[x : x + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS x FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), p AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS same FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r
+), l AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * same >= 75 * (x.n + y.n - same)
+), c AS (
+  SELECT r, r AS t FROM d UNION SELECT c.r, l.b FROM c JOIN l ON c.t = l.a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT c.r, min(x.doc_id) AS component_id FROM c JOIN d x ON c.t = x.r GROUP BY c.r) m USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_jaccard_join": _OP8, "op3_chat_formatting": _OP3, "op4_mix_sources": _OP4, "op5_exact_dedup": _OP5, "op6_decontaminate": _OP6}
