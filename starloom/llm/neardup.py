@@ -165,7 +165,29 @@ def _fits(pairs: DataFrame) -> DataFrame:
     """Length and positional filters on pairs (sig, n, pos, o_sig, o_n, o_pos)."""
     n, m, i, j = (F.col(c) for c in ("n", "o_n", "pos", "o_pos"))
     needed = F.ceil(3 * (n + m) / 7)
-    return pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.least(i - 1, j - 1) + 1 + F.least(n - i, m - j) >= needed))
+    place = F.least(i - 1, j - 1) + 1 + F.least(n - i, m - j)
+    return pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (place >= needed))
+
+
+def _share(pairs: DataFrame, n: str, m: str, shared: str) -> DataFrame:
+    """Prefix count filter. Of the overlap that a link needs, at most ceil(0.75 * larger) - 1 lies after the prefixes."""
+    most = F.greatest(n, m)
+    return pairs.where(F.col(shared) >= F.ceil(3 * (F.col(n) + F.col(m)) / 7) - (F.ceil(3 * most / 4) - 1))
+
+
+def _fetched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sets: DataFrame | None) -> DataFrame | None:
+    """The shingle sets of all classes in pairs; those that aren't there yet are made again from the texts."""
+    needed = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
+    if sets is not None:
+        needed = needed.join(sets.select("sig"), "sig", "left_anti")
+    needed = written(needed.join(classes, "sig"))
+    count = needed.count()
+    if not count:
+        return sets
+    bits = bits_for(count, 64)
+    found = texts.mapInArrow(wanted_sets(bitmap(needed, "key", bits), bits), "key long, sig long, shingles binary")
+    new = written(found.join(needed.withColumnsRenamed({"key": "w_key", "sig": "w_sig"}), (F.col("key") == F.col("w_key")) & (F.col("sig") == F.col("w_sig"))).select("sig", "shingles"))
+    return new if sets is None else sets.unionAll(new)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,7 +212,7 @@ def _led(lists: DataFrame, seed: int) -> DataFrame:
 def _rest(lists: DataFrame) -> DataFrame:
     """All pairs of a token's classes in different components."""
     other = lists.select("token", *[F.col(c).alias(f"o_{c}") for c in ("sig", "n", "pos", "comp")])
-    return lists.join(other, "token").where("sig < o_sig and comp <> o_comp")
+    return _fits(lists.join(other, "token").where("sig < o_sig and comp <> o_comp"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,15 +247,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = np.argsort(tokens)
     sent = df.select(F.col(text_col).alias("text")).mapInArrow(prefixes(tokens[order], top["n"].to_numpy(np.int64)[order]), "token long, part long, sig long, n long, pos long")
     shared = sent.selectExpr("*", "min(sig) over (partition by token, part) as low", "max(sig) over (partition by token, part) as high")
-    lists = written(shared.where("part >= 0 or low < high").select("token", "part", "sig", "n", "pos"))
+    lists = written(shared.where("part >= 0 or low < high").select("token", "part", "sig", "n", "pos").dropDuplicates(["token", "part", "sig"]))
     classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
-    involved = written(lists.select("sig").distinct().join(classes, "sig").select("sig", "key"))
-    count = involved.count()
-    if count:
-        bits = bits_for(count, 64)
-        found = rows.select("key", "text").mapInArrow(wanted_sets(bitmap(involved, "key", bits), bits), "key long, sig long, shingles binary")
-        sets = written(found.join(involved.select("key", "sig"), ["key", "sig"]).select("sig", "shingles"))
-        comps = _linked(lists, sets)
+    comps = _linked(lists, classes.select("sig", "key"), rows.select("key", "text"))
+    if comps is not None:
         classes = classes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp"))
         least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
         classes = classes.join(least, "comp")
@@ -245,22 +262,32 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, comp) of the classes that link."""
-    edges, comps = None, None
+def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(node, comp) of the classes that link; None if no pair is left to compare."""
+    held = written(lists.groupBy("sig", "n").agg(F.collect_set("token").alias("tokens")))
+    edges = comps = sets = None
     for seed in range(ROUNDS + 1):
         if comps is None:
             now = lists.withColumn("comp", F.col("sig"))
         else:
             labelled = lists.join(comps.withColumnRenamed("comp", "c"), F.col("sig") == F.col("node"), "left").withColumn("comp", F.coalesce("c", "sig")).drop("c", "node")
-            mixed_tokens = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-            now = written(labelled.join(mixed_tokens, "token", "left_semi"))
+            several = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+            now = written(labelled.join(several, "token", "left_semi"))
         members, pairs = now.groupBy("token").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
         last = seed == ROUNDS or (pairs or 0) <= PAIRS_EACH * (members or 0)
-        pairs = _fits(_rest(now) if last else _led(now, seed))
-        pairs = pairs.select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b")).distinct()
-        new = _compared(pairs, sets)
-        edges = new if edges is None else edges.unionAll(new)
-        comps = components(edges)
+        if last:
+            pairs = _rest(now).groupBy(F.col("sig").alias("a"), F.col("o_sig").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("o_n").alias("m"))
+        else:
+            pairs = _fits(_led(now, seed)).select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b")).distinct()
+            for side, n in (("a", "n"), ("b", "m")):
+                pairs = pairs.join(held.select(F.col("sig").alias(side), F.col("n").alias(n), F.col("tokens").alias(f"{side}_tokens")), side)
+            pairs = pairs.withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
+        pairs = written(_share(pairs, "n", "m", "shared").select("a", "b"))
+        sets = _fetched(pairs, classes, texts, sets)
+        if sets is not None:
+            new = _compared(pairs, sets)
+            edges = new if edges is None else edges.unionAll(new)
+            comps = components(edges)
         if last:
             return comps
+    return comps
