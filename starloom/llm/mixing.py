@@ -50,14 +50,29 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Rows that share id, source and size share a draw and a decision. An empty source has target 0. Nothing is sorted
     but histograms of 2 ** STEP_BITS buckets a source.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    return mix_sized(rows, weights, share, cap)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
+    rows = written(rows.withColumn("draw", draw(F.col("doc_id"), F.col("source"), F.col("size"))))
+    return decided(rows, thresholds(rows, weights, share, cap)).drop("draw")
 
 
-def mix_sized(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """`mix` for rows (doc_id, source, size, ...) that have their size already; other columns are kept."""
-    rows = written(rows.withColumn("draw", draw(F.col("doc_id"), F.col("source"), F.col("size"))))
+def taken_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The rows of df that the mix takes, with all their columns and size, source_size, target, copies and taken.
+
+    The thresholds are a row for each source, so texts meet them in a scan and aren't shuffled. df must not have
+    columns of those names.
+    """
+    sized = df.select("*", size_of(text_col).alias("size"))
+    keyed = sized.withColumn("draw", draw(F.col(id_col), F.col(source_col), F.col("size")))
+    rows = written(keyed.select(F.col(source_col).alias("source"), "size", "draw"))
+    return decided(keyed, thresholds(rows, weights, share, cap), source_col).where("copies > 0").drop("draw")
+
+
+def size_of(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """(source, size, draw) to one row for each source: p_source, source_size, target, times, low (the threshold)."""
     first = written(_histogram(rows, DRAW_BITS - STEP_BITS))
     targets = source_targets(first.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     targets = targets.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -87,10 +102,15 @@ def mix_sized(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
             break
         inside = rows.join(open_, rows["source"].eqNullSafe(F.col("s")) & (F.shiftright("draw", shift) == F.col("at")))
         counts = _histogram(inside, shift - STEP_BITS)
-    plan = written(budgets.select("source", "source_size", "target", "times").join(state.select("s", "low"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "p_source"))
+    plan = budgets.select("source", "source_size", "target", "times").join(state.select("s", "low"), F.col("source").eqNullSafe(F.col("s")))
+    return written(plan.drop("s").withColumnRenamed("source", "p_source"))
+
+
+def decided(rows: DataFrame, plan: DataFrame, source_col: str = "source") -> DataFrame:
+    """Rows with size and draw, joined to their source's threshold: copies and taken."""
     copies = F.col("times") + F.when(F.col("draw") < F.col("low"), F.lit(1)).otherwise(F.lit(0))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("copies", copies)
-    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("p_source", "times", "low", "draw")
+    out = rows.join(plan, F.col(source_col).eqNullSafe(F.col("p_source"))).withColumn("copies", copies)
+    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("p_source", "times", "low")
 
 
 def _histogram(rows: DataFrame, shift: int) -> DataFrame:
