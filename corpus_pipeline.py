@@ -1,8 +1,65 @@
-"""The corpus pipeline: stages over documents, each written and reread before the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's documents."""
 
-STAGES = []
-ORACLE_SQL = None
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starloom.llm import decontaminate, dedup, mixing, neardup, quality
+from starloom.llm.scratch import without, written
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    judged = quality.quality(docs, _table(spark, sf_dir, "labels"))
+    return without(docs, judged.where(~F.col("accepted")).select(F.col("doc_id").alias("id"), "key"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays: the longest original, then the smallest doc_id."""
+    return dedup.exact_dedup(docs)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    found = neardup.jaccard_components(docs)
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "key"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with a benchmark item go."""
+    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("contaminated").select(F.col("doc_id").alias("id"), "key"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents taken at least once, with copies, size, taken and their source's size and target."""
+    return mixing.taken_rows(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination),
+    ("mix_sources", mix_sources),
+]
+
+#: A fitted classifier is not SQL; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, over the whole table of documents."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
+    return docs
