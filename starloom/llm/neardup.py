@@ -16,11 +16,11 @@ from starloom.llm.spans import NOT_SPACE, Words, grams, mixed, slices
 #: Words of a shingle. Two sets link when 4 * intersection >= 3 * union (0.75).
 SHINGLE = 5
 #: Shingles that a task counts at once, the count from which it reports one, and how many of the most frequent are told apart.
-CHUNK, REPORTED, FREQUENT = 4 << 20, 3, 200_000
+CHUNK, REPORTED, FREQUENT = 4 << 20, 3, 1_000_000
 #: Classes that a list of a frequent shingle holds before it is split.
 LIST = 2000
 #: Rounds that compare lists with a leader, at most, and the pairs for each member of the lists that end them.
-ROUNDS, PAIRS_EACH = 6, 8
+ROUNDS, PAIRS_EACH = 3, 8
 
 
 def shingle_sets(words: Words, n: int = SHINGLE) -> list[np.ndarray]:
@@ -162,11 +162,14 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fits(pairs: DataFrame) -> DataFrame:
-    """Length and positional filters on pairs (sig, n, pos, o_sig, o_n, o_pos)."""
-    n, m, i, j = (F.col(c) for c in ("n", "o_n", "pos", "o_pos"))
-    needed = F.ceil(3 * (n + m) / 7)
-    place = F.least(i - 1, j - 1) + 1 + F.least(n - i, m - j)
-    return pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (place >= needed))
+    """Length and positional filters on pairs (sig, n, pos, o_sig, o_n, o_pos).
+
+    Of the overlap that a link needs, all lies at or after the first shared shingle, so in either set that one's place
+    is at most n - needed + 1; pairs that link share at least that shingle.
+    """
+    n, m = F.col("n"), F.col("o_n")
+    spare = F.ceil(3 * (n + m) / 7) - 1
+    return pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.col("pos") <= n - spare) & (F.col("o_pos") <= m - spare))
 
 
 def _share(pairs: DataFrame, n: str, m: str, shared: str) -> DataFrame:
@@ -212,7 +215,7 @@ def _led(lists: DataFrame, seed: int) -> DataFrame:
 def _rest(lists: DataFrame) -> DataFrame:
     """All pairs of a token's classes in different components."""
     other = lists.select("token", *[F.col(c).alias(f"o_{c}") for c in ("sig", "n", "pos", "comp")])
-    return _fits(lists.join(other, "token").where("sig < o_sig and comp <> o_comp"))
+    return lists.join(other, "token").where("sig < o_sig and comp <> o_comp")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,11 +244,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.sum("c.n").alias("n"))
         .orderBy(F.desc("n"), "token")
         .limit(FREQUENT)
-        .toPandas()
+        .toArrow()
     )
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(tokens)
-    sent = df.select(F.col(text_col).alias("text")).mapInArrow(prefixes(tokens[order], top["n"].to_numpy(np.int64)[order]), "token long, part long, sig long, n long, pos long")
+    sent = df.select(F.col(text_col).alias("text")).mapInArrow(prefixes(tokens[order], counts[order]), "token long, part long, sig long, n long, pos long")
     shared = sent.selectExpr("*", "min(sig) over (partition by token, part) as low", "max(sig) over (partition by token, part) as high")
     lists = written(shared.where("part >= 0 or low < high").select("token", "part", "sig", "n", "pos").dropDuplicates(["token", "part", "sig"]))
     classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
@@ -266,6 +269,7 @@ def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     """(node, comp) of the classes that link; None if no pair is left to compare."""
     held = written(lists.groupBy("sig", "n").agg(F.collect_set("token").alias("tokens")))
     edges = comps = sets = None
+    before = float("inf")
     for seed in range(ROUNDS + 1):
         if comps is None:
             now = lists.withColumn("comp", F.col("sig"))
@@ -273,15 +277,15 @@ def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
             labelled = lists.join(comps.withColumnRenamed("comp", "c"), F.col("sig") == F.col("node"), "left").withColumn("comp", F.coalesce("c", "sig")).drop("c", "node")
             several = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
             now = written(labelled.join(several, "token", "left_semi"))
+            lists = now.drop("comp")  # a list within one component stays so
         members, pairs = now.groupBy("token").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
-        last = seed == ROUNDS or (pairs or 0) <= PAIRS_EACH * (members or 0)
-        if last:
-            pairs = _rest(now).groupBy(F.col("sig").alias("a"), F.col("o_sig").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("o_n").alias("m"))
-        else:
-            pairs = _fits(_led(now, seed)).select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b")).distinct()
-            for side, n in (("a", "n"), ("b", "m")):
-                pairs = pairs.join(held.select(F.col("sig").alias(side), F.col("n").alias(n), F.col("tokens").alias(f"{side}_tokens")), side)
-            pairs = pairs.withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
+        # rounds go on only while they settle lists in bulk
+        last = seed == ROUNDS or (pairs or 0) <= PAIRS_EACH * (members or 0) or 2 * members > before
+        before = members or 0
+        pairs = _fits(_rest(now) if last else _led(now, seed)).select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b")).distinct()
+        for side, n in (("a", "n"), ("b", "m")):
+            pairs = pairs.join(held.select(F.col("sig").alias(side), F.col("n").alias(n), F.col("tokens").alias(f"{side}_tokens")), side)
+        pairs = pairs.withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
         pairs = written(_share(pairs, "n", "m", "shared").select("a", "b"))
         sets = _fetched(pairs, classes, texts, sets)
         if sets is not None:
