@@ -254,7 +254,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
     comps = _linked(lists, classes.select("sig", "key"), rows.select("key", "text"))
     if comps is not None:
-        classes = classes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp"))
+        classes = written(classes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp")))
         least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
         classes = classes.join(least, "comp")
     else:
@@ -274,9 +274,11 @@ def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
         if comps is None:
             now = lists.withColumn("comp", F.col("sig"))
         else:
-            labelled = lists.join(comps.withColumnRenamed("comp", "c"), F.col("sig") == F.col("node"), "left").withColumn("comp", F.coalesce("c", "sig")).drop("c", "node")
-            several = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-            now = written(labelled.join(several, "token", "left_semi"))
+            # tokens of several components are found by class, so that only their lists are labelled
+            of = held.join(comps, F.col("sig") == F.col("node"), "left").select(F.explode("tokens").alias("token"), F.coalesce("comp", "sig").alias("comp"))
+            several = of.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+            now = lists.join(several, "token", "left_semi").join(comps.withColumnRenamed("comp", "c"), F.col("sig") == F.col("node"), "left")
+            now = written(now.withColumn("comp", F.coalesce("c", "sig")).drop("c", "node"))
             lists = now.drop("comp")  # a list within one component stays so
         members, pairs = now.groupBy("token").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
         # rounds go on only while they settle lists in bulk
