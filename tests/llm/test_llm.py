@@ -1,0 +1,188 @@
+"""Each operator against brute force, with nulls, empty and repeated rows, ties and empty tables."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from starloom.llm import chat, decontaminate, dedup, mixing, neardup, pii, scratch, tokens, toxicity, urls
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+RANDOM = random.Random(3)
+WORDS = ["alpha", "Beta", "gamma", "delta", "épsilon", "zeta", "eta2", "theta"]
+
+
+def sentence(n):
+    return " ".join(RANDOM.choice(WORDS) + str(RANDOM.randrange(40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = [sentence(n) for n in (60, 80, 120, 30)]
+    out = [(i, t, "en", "a", 0) for i, t in enumerate(base)]
+    for i in range(10, 40):
+        words = base[i % 4].split()
+        for _ in range(i % 5):
+            words[RANDOM.randrange(len(words))] = "changed" + str(RANDOM.randrange(9))
+        out.append((i, " ".join(words), "en", "b" if i % 2 else None, 0))
+    out += [(50, base[0].replace(" ", "\n\t"), "en", "c", 0), (51, base[0] + "  ", "en", "c", 0), (52, None, None, "c", 0), (53, "", "en", "c", 0), (54, " \n", "en", "c", 0)]
+    out += [(55, "one two", "en", "a", 0), (56, "One Two", "en", "a", 0), (57, "x" * 5000, "en", "a", 0), (0, base[0], "en", "a", 0), (None, base[1], "en", "a", 0)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def bare(text):
+    return re.sub("[\x20\x09-\x0d]", "", text or "")
+
+
+def test_exact_dedup(docs, rows, empty):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[bare(r[1])].append(r)
+    best = {k: min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for k, g in groups.items()}
+    found = dedup.dedup_report(docs).collect()
+    assert len(found) == len(rows) and sum(r["kept"] for r in found) == len(groups)
+    by_digest = {hashlib.sha256(k.encode()).hexdigest(): (best[k][0], len(g)) for k, g in groups.items()}
+    assert all(by_digest[r["text_sha256"]] == (r["keep_id"], r["group_size"]) for r in found)
+    kept = dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns and Counter(tuple(r) for r in kept.collect()) == Counter(best.values())
+    small = dedup.content_groups(docs, table_bytes=300)  # forces flushes and deeper buckets
+    assert Counter(r["n"] for r in small.collect()) == Counter(len(g) for g in groups.values())
+    assert dedup.dedup_report(empty).count() == dedup.exact_dedup(empty).count() == 0
+
+
+def test_content_table_compares_whole_contents():
+    table = dedup.ContentTable(4)
+    same = [table.number(bytes([i % 50]), 7) for i in range(200)]  # one hash for all
+    assert same == [i % 50 for i in range(200)]
+
+
+def test_decontamination(spark, docs, rows, empty):
+    text = rows[2][1].split()
+    items = [(1, " ".join(text[5:30])), (2, "One  TWO"), (3, None), (4, ""), (5, "never seen words at all in any of these documents here"), (10, " ".join(text[20:31]))]
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    expected = Counter()
+    for r in rows:
+        words, hit, ids = split(r[1]), set(), set()
+        for i, t in items:
+            w = split(t)
+            n = min(10, len(w))
+            for a in range(len(w) - n + 1) if n else ():
+                for b in range(len(words) - n + 1):
+                    if words[b : b + n] == w[a : a + n]:
+                        hit |= set(range(b, b + n))
+                        ids.add(str(i))
+        expected[(r[0], len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(tuple(r) for r in decontaminate.contamination(docs, bench).drop("key").collect()) == expected
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_jaccard_components(docs, rows, empty):
+    def shingles(text):
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(r[1]) for r in rows]
+    reach = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                old, new = reach[i], reach[j]
+                reach = [new if x == old else x for x in reach]
+    least = {c: min((r[0] for r, x in zip(rows, reach, strict=True) if x == c and r[0] is not None), default=None) for c in reach}
+    expected = Counter((r[0], len(s), least[c]) for r, s, c in zip(rows, sets, reach, strict=True))
+    assert Counter(tuple(r) for r in neardup.jaccard_components(docs).drop("key").collect()) == expected
+    assert neardup.jaccard_components(empty).count() == 0
+
+
+def test_mixing(docs, rows, empty):
+    found = mixing.mix(docs)
+    got = found.collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    assert math.isclose(sum({r["source"]: r["target"] for r in got}.values()), 1.5 * sum(r["size"] for r in got))
+    largest = max(r["size"] for r in got)
+    for source in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == source]
+        assert own[0]["target"] <= 2 * own[0]["source_size"] and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= largest
+    assert mixing.mix(empty).count() == 0
+
+
+def test_chat_round_trip(spark):
+    said = ["</s>[INST] ok [/INST]", "<|user|>\\", "a\nb", "", None, "<|image|>"]
+    turns = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)] + [(2, 0, None, "é|>"), (None, 0, "user", "x")]
+    out = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    for r in out.withColumn("back", chat.read_back(F.col("formatted"))).collect():
+        own = [(t[2] or "", t[3] or "") for t in turns if t[0] == r["conv_id"]]
+        assert [(x["role"], x["text"]) for x in r["back"]] == own
+        loss = [re.sub(r"(?s)\\(.)", r"\1", r["formatted"][s["start"] - 1 : s["start"] - 1 + s["length"]]) for s in r["loss_spans"]]
+        assert loss == [t for role, t in own if role == "assistant"]
+    parts = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(t).alias("text"), F.lit(k).alias("ref"), *[F.lit(x).cast("long").alias(n) for n, x in (("width", 28), ("height", 15), ("ms", 81), ("bytes", 9))]) for k, t in (("text", "see"), ("image", None), ("audio", None), ("document", None))])
+    r = chat.format_chats(spark.createDataFrame([(1, 0, "user")], "conv_id long, turn long, role string"), content=parts.cast(f"array<{chat.PART}>")).first()
+    assert r["formatted"] == "<|user|>see<|image|><|audio|><|document|></s>" and [x["tokens"] for x in r["refs"]] == [4, 3, 3] and r["placeholder_tokens"] == 10
+
+
+def test_token_counts():
+    from tokenizers import Tokenizer, models
+
+    pieces = {"▁": -3.0, "a": -2.0, "b": -2.0, "ab": -4.0, "▁ab": -5.0, "ba": -4.0, "abab": -8.0, "▁a": -4.0, "c": -9.0, "bc": -11.0}
+    vocabulary = list(pieces.items())
+    unigram = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary], 0, False))
+    counter = tokens.Counter(tokens.Vocabulary(pieces, False))
+    for _ in range(400):
+        text = "".join(RANDOM.choice("aab bc") for _ in range(RANDOM.randrange(1, 30)))
+        assert counter.of(text) == len(unigram.encode("▁" + text.replace(" ", "▁")).ids), text
+    assert counter.of("") == 0
+
+
+def test_surrogates(spark, empty):
+    texts = ["mail Bob.Smith42@mail8.example.com, bob.smith42@mail8.example.com", "Mr. John Smith and Mrs Anna Bell; Mr John Smith", "card 4532015112830366 call +1 (556) 555-9070", "ip 65.39.143.156 or 65.39.143.157", None, "", "plain"]
+    found = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i]["n_entities"] for i in range(7)] == [2, 3, 2, 2, 0, 0, 0] and found[6]["text"] == "plain" and found[4]["text"] is None
+    mails = re.findall(r"\S+@\S+com", found[0]["text"])
+    assert mails[0].lower() == mails[1] and "smith" not in mails[1]
+    assert re.fullmatch(r"Mr\. (\w+n \w+n) and Mrs (\w+na \w+na); Mr \1", found[1]["text"])
+    digits = [int(x) for x in re.search(r"4\d{15}", found[2]["text"])[0]][::-1]
+    assert sum(digits[::2]) % 10 == -sum(sum(divmod(2 * x, 10)) for x in digits[1::2]) % 10 and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", found[2]["text"])
+    assert len(set(re.findall(r"\d+\.\d+\.\d+\.\d+", found[3]["text"]))) == 2 and pii.replace(empty).count() == 0
+
+
+def test_segments_are_maximal():
+    for _ in range(50):
+        scores = np.array([RANDOM.choice([-1.0, -0.5, 0.7, 2.0]) for _ in range(40)])
+        best = max((scores[a:b].sum() for a in range(40) for b in range(a + 1, 41)), default=0)
+        found = toxicity.segments(scores)
+        assert math.isclose(max((s for s, _, _ in found), default=best), best, abs_tol=1e-9) or best <= 0
+        assert all(math.isclose(s, scores[a:b].sum(), abs_tol=1e-9) for s, a, b in found)
+
+
+def test_url_rules(spark):
+    cases = {"http://A.org/x": "org/", "https://www.example.org/es/1?q": "example.org/es/", "http://example.org/en/12": "example.org/en/1", "http://x.com/fr/#a": "com/fr/", "http://a.net/": None, "org/": None, None: None, "": None, "http://borg": None, "://evil.com/de/2": "com/de/"}
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
+    found = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert [found[i]["rule"] for i in range(len(cases))] == list(cases.values())
+    assert found[1]["host"] == "www.example.org" and found[1]["path"] == "/es/1" and found[1]["verdict"] == "block" and found[6]["host"] == ""
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_without_removes_by_id_and_text(docs, rows):
+    gone = docs.where("doc_id in (0, 52)").select(F.col("doc_id").alias("id"), scratch.row_key("doc_id", "text").alias("key"))
+    left = scratch.without(docs, gone)
+    assert left.columns == docs.columns and Counter(tuple(r) for r in left.collect()) == Counter(r for r in rows if r[0] not in (0, 52))
