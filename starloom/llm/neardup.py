@@ -21,6 +21,8 @@ CHUNK, REPORTED, FREQUENT = 4 << 20, 3, 1_000_000
 LIST = 2000
 #: Rounds that compare lists with a leader, at most, and the pairs for each member of the lists that end them.
 ROUNDS, PAIRS_EACH = 3, 8
+#: Columns of 64 bits in the parity bitmap of a class.
+PARITY = [f"p{i}" for i in range(8)]
 
 
 def shingle_sets(words: Words, n: int = SHINGLE) -> list[np.ndarray]:
@@ -43,11 +45,22 @@ def signature(held: np.ndarray) -> int:
         return int(mixed(np.array([mixed(held).sum() + np.uint64(len(held))], np.uint64)).view(np.int64)[0])
 
 
-_ROWS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("counted", pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))])
+def parity(held: np.ndarray) -> np.ndarray:
+    """For each bit of the bitmap, whether an odd number of shingles falls on it.
+
+    Where the bitmaps of two sets differ, at least one shingle is in one of them alone.
+    """
+    at = (held >> np.uint64(20)).astype(np.int64) % (64 * len(PARITY))
+    return np.packbits((np.bincount(at, minlength=64 * len(PARITY)) & 1).astype(np.uint8)).view(np.int64)
+
+
+_ROWS = pa.schema(
+    [(c, pa.int64()) for c in ("id", "key", "n", "sig", *PARITY)] + [("counted", pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))]
+)
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, text) to the size and signature of each set, and the shingles that are frequent within the task.
+    """(id, key, text) to the size, signature and parity of each set, and the shingles that are frequent within the task.
 
     A shingle in more sets than there are chunks is reported by some chunk, so none that is frequent in the whole
     corpus goes unseen; of equal sets a chunk counts one.
@@ -61,15 +74,16 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = n >= REPORTED
         found = [{"token": t, "n": c} for t, c in zip(tokens[most].view(np.int64).tolist(), n[most].tolist(), strict=True)]
         rows = [found[i : i + 10_000] for i in range(0, len(found), 10_000)]
-        empty = [None] * len(rows)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((empty, empty, empty, empty, rows), _ROWS, strict=True)], schema=_ROWS)
+        empty = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([empty] * (len(_ROWS) - 1) + [pa.array(rows, _ROWS.field("counted").type)], schema=_ROWS)
 
     for batch in batches:
-        sizes, sigs = [], []
+        sizes, sigs, bits = [], [], []
         for words in slices(batch.column("text"), NOT_SPACE, True):
             for x in shingle_sets(words):
                 sizes.append(len(x))
                 sigs.append(signature(x) if len(x) else None)
+                bits.append(parity(x))
                 if len(x) and sigs[-1] not in seen:
                     seen.add(sigs[-1])
                     counted.append(x)
@@ -78,7 +92,9 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield frequent()
                 counted, seen, held = [], set(), 0
         nothing = pa.nulls(len(sizes), _ROWS.field("counted").type)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), nothing], schema=_ROWS)
+        columns = np.array(bits, np.int64).reshape(-1, len(PARITY)).T
+        described = [pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), *[pa.array(c) for c in columns]]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *described, nothing], schema=_ROWS)
     yield frequent()
 
 
@@ -172,6 +188,12 @@ def _fits(pairs: DataFrame) -> DataFrame:
     return pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.col("pos") <= n - spare) & (F.col("o_pos") <= m - spare))
 
 
+def _near(pairs: DataFrame, ours: list[str], theirs: list[str], n: str, m: str) -> DataFrame:
+    """Bitmap filter. Sets that link differ in at most (n + m) / 7 shingles, and their bitmaps in no more bits."""
+    differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(ours, theirs, strict=True)), F.lit(0))
+    return pairs.where(7 * differ <= F.col(n) + F.col(m))
+
+
 def _share(pairs: DataFrame, n: str, m: str, shared: str) -> DataFrame:
     """Prefix count filter. Of the overlap that a link needs, at most ceil(0.75 * larger) - 1 lies after the prefixes."""
     most = F.greatest(n, m)
@@ -202,19 +224,20 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _led(lists: DataFrame, seed: int) -> DataFrame:
     """Pairs of each list's leader with the members of other components, and of a split list's leaders with the first."""
-    member = F.struct(F.xxhash64("sig", F.lit(seed)).alias("h"), "sig", "n", "pos", "comp")
+    fields = [c for c in lists.columns if c not in ("token", "part")]
+    member = F.struct(F.xxhash64("sig", F.lit(seed)).alias("h"), *fields)
     heads = written(lists.groupBy("token", "part").agg(F.min(member).alias("m")))
-    named = [F.col(f"m.{c}").alias(f"o_{c}") for c in ("sig", "n", "pos", "comp")]
+    named = [F.col(f"m.{c}").alias(f"o_{c}") for c in fields]
     first = heads.groupBy("token").agg(F.min("m").alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", *named)
     pairs = lists.join(heads.select("token", "part", *named), ["token", "part"])
-    across = heads.select("token", *[F.col(f"m.{c}").alias(c) for c in ("sig", "n", "pos", "comp")]).join(first, "token")
-    columns = ["sig", "n", "pos", "comp", "o_sig", "o_n", "o_pos", "o_comp"]
+    across = heads.select("token", *[F.col(f"m.{c}").alias(c) for c in fields]).join(first, "token")
+    columns = fields + [f"o_{c}" for c in fields]
     return pairs.select(columns).unionAll(across.select(columns)).where("comp <> o_comp")
 
 
 def _rest(lists: DataFrame) -> DataFrame:
     """All pairs of a token's classes in different components."""
-    other = lists.select("token", *[F.col(c).alias(f"o_{c}") for c in ("sig", "n", "pos", "comp")])
+    other = lists.select("token", *[F.col(c).alias(f"o_{c}") for c in lists.columns if c not in ("token", "part")])
     return lists.join(other, "token").where("sig < o_sig and comp <> o_comp")
 
 
@@ -228,15 +251,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     1. Equal sets are one class, so copies are compared once, as a class.
     2. Each class sends its rare-first prefix; classes that link share a prefix token. Only tokens of two or more
        classes stay.
-    3. Lists are compared with a leader first, in rounds with other leaders, under length and positional filters; links
+    3. Lists are compared with a leader first, in rounds with other leaders, under length, positional and bitmap filters; links
        join components, and pairs within a component need no comparing. So a large group of near copies costs a few
        comparisons for each member, not all pairs.
     4. When few pairs are left between components, all of them are compared. No pair is left out: each is in one
        component, ruled out by a filter that can't lose a link, or compared on its whole sets.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    described = written(rows.mapInArrow(describe, "id long, key long, n long, sig long, counted array<struct<token: long, n: long>>"))
-    docs = described.where("counted is null").select("id", "key", "n", "sig")
+    longs = ", ".join(f"{c} long" for c in _ROWS.names[:-1])
+    described = written(rows.mapInArrow(describe, f"{longs}, counted array<struct<token: long, n: long>>"))
+    docs = described.where("counted is null").drop("counted")
     top = (
         described.where("counted is not null")
         .select(F.explode("counted").alias("c"))
@@ -251,8 +275,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sent = df.select(F.col(text_col).alias("text")).mapInArrow(prefixes(tokens[order], counts[order]), "token long, part long, sig long, n long, pos long")
     shared = sent.selectExpr("*", "min(sig) over (partition by token, part) as low", "max(sig) over (partition by token, part) as high")
     lists = written(shared.where("part >= 0 or low < high").select("token", "part", "sig", "n", "pos").dropDuplicates(["token", "part", "sig"]))
-    classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
-    comps = _linked(lists, classes.select("sig", "key"), rows.select("key", "text"))
+    classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in PARITY]))
+    comps = _linked(lists, classes.drop("least"), rows.select("key", "text"))
     if comps is not None:
         classes = written(classes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp")))
         least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -267,7 +291,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(node, comp) of the classes that link; None if no pair is left to compare."""
-    held = written(lists.groupBy("sig", "n").agg(F.collect_set("token").alias("tokens")))
+    bits, classes = classes.select("sig", *PARITY), classes.select("sig", "key")
+    held = written(lists.groupBy("sig", "n").agg(F.collect_set("token").alias("tokens")).join(bits, "sig"))
     edges = comps = sets = None
     before = float("inf")
     for seed in range(ROUNDS + 1):
@@ -278,16 +303,21 @@ def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
             of = held.join(comps, F.col("sig") == F.col("node"), "left").select(F.explode("tokens").alias("token"), F.coalesce("comp", "sig").alias("comp"))
             several = of.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
             now = lists.join(several, "token", "left_semi").join(comps.withColumnRenamed("comp", "c"), F.col("sig") == F.col("node"), "left")
-            now = written(now.withColumn("comp", F.coalesce("c", "sig")).drop("c", "node"))
+            now = now.withColumn("comp", F.coalesce("c", "sig")).drop("c", "node")
+            now = written(now if PARITY[0] in now.columns else now.join(bits, "sig"))
             lists = now.drop("comp")  # a list within one component stays so
         members, pairs = now.groupBy("token").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
         # rounds go on only while they settle lists in bulk
         last = seed == ROUNDS or (pairs or 0) <= PAIRS_EACH * (members or 0) or 2 * members > before
         before = members or 0
-        pairs = _fits(_rest(now) if last else _led(now, seed)).select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b")).distinct()
+        pairs = _fits(_rest(now) if last else _led(now, seed))
+        if PARITY[0] in now.columns:
+            pairs = _near(pairs, PARITY, [f"o_{c}" for c in PARITY], "n", "o_n")
+        pairs = pairs.select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b")).distinct()
         for side, n in (("a", "n"), ("b", "m")):
-            pairs = pairs.join(held.select(F.col("sig").alias(side), F.col("n").alias(n), F.col("tokens").alias(f"{side}_tokens")), side)
-        pairs = pairs.withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
+            of = held.select(F.col("sig").alias(side), F.col("n").alias(n), F.col("tokens").alias(f"{side}_tokens"), *[F.col(c).alias(f"{side}_{c}") for c in PARITY])
+            pairs = pairs.join(of, side)
+        pairs = _near(pairs, [f"a_{c}" for c in PARITY], [f"b_{c}" for c in PARITY], "n", "m").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
         pairs = written(_share(pairs, "n", "m", "shared").select("a", "b"))
         sets = _fetched(pairs, classes, texts, sets)
         if sets is not None:
