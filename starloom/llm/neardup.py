@@ -292,20 +292,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(node, comp) of the classes that link; None if no pair is left to compare."""
     bits, classes = classes.select("sig", *PARITY), classes.select("sig", "key")
-    held = written(lists.groupBy("sig", "n").agg(F.collect_set("token").alias("tokens")).join(bits, "sig"))
+    places = F.collect_list(F.struct("token", "part", "pos")).alias("places")
+    held = left = written(lists.groupBy("sig", "n").agg(places).join(bits, "sig"))
     edges = comps = sets = None
     before = float("inf")
     for seed in range(ROUNDS + 1):
         if comps is None:
             now = lists.withColumn("comp", F.col("sig"))
         else:
-            # tokens of several components are found by class, so that only their lists are labelled
-            of = held.join(comps, F.col("sig") == F.col("node"), "left").select(F.explode("tokens").alias("token"), F.coalesce("comp", "sig").alias("comp"))
+            # classes are labelled, and hand the label to each of their places; a list within one component stays so
+            of = left.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("comp", "sig").alias("comp"), F.explode("places").alias("place"))
+            of = of.select("place.*", "sig", "n", "comp")
             several = of.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-            now = lists.join(several, "token", "left_semi").join(comps.withColumnRenamed("comp", "c"), F.col("sig") == F.col("node"), "left")
-            now = now.withColumn("comp", F.coalesce("c", "sig")).drop("c", "node")
-            now = written(now if PARITY[0] in now.columns else now.join(bits, "sig"))
-            lists = now.drop("comp")  # a list within one component stays so
+            now = written(of.join(several, "token", "left_semi").join(bits, "sig"))
+            left = now.groupBy("sig", "n").agg(places)
         members, pairs = now.groupBy("token").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
         # rounds go on only while they settle lists in bulk
         last = seed == ROUNDS or (pairs or 0) <= PAIRS_EACH * (members or 0) or 2 * members > before
@@ -315,7 +315,7 @@ def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
             pairs = _near(pairs, PARITY, [f"o_{c}" for c in PARITY], "n", "o_n")
         pairs = pairs.select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b")).distinct()
         for side, n in (("a", "n"), ("b", "m")):
-            of = held.select(F.col("sig").alias(side), F.col("n").alias(n), F.col("tokens").alias(f"{side}_tokens"), *[F.col(c).alias(f"{side}_{c}") for c in PARITY])
+            of = held.select(F.col("sig").alias(side), F.col("n").alias(n), F.col("places.token").alias(f"{side}_tokens"), *[F.col(c).alias(f"{side}_{c}") for c in PARITY])
             pairs = pairs.join(of, side)
         pairs = _near(pairs, [f"a_{c}" for c in PARITY], [f"b_{c}" for c in PARITY], "n", "m").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
         pairs = written(_share(pairs, "n", "m", "shared").select("a", "b"))
