@@ -2,7 +2,9 @@ import math
 
 import pytest
 
-from starloom import queries
+from pyspark.sql import functions as F
+
+from starloom import evaluators, queries
 from starloom.operators import maps, similarity
 from starloom.sources.relations import MODES
 
@@ -31,3 +33,15 @@ def test_crossmatch_finds_the_nearest(spark):
 
 def test_every_query_has_a_name_and_sql():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_uniform_depends_on_the_key_alone(spark):
+    rows = spark.range(1000).select("id", evaluators.uniform(F.col("id")).alias("u"))
+    once = {r["id"]: r["u"] for r in rows.collect()}
+    again = {r["id"]: r["u"] for r in rows.repartition(7).collect()}
+    assert once == again and all(0 < u < 1 for u in once.values()) and 0.45 < sum(once.values()) / 1000 < 0.55
+
+
+def test_sampled_rows_agree_between_runs(spark):
+    first, second = ({r["p_partkey"] for r in evaluators.t6_weighted_sample(spark, SF).collect()} for _ in range(2))
+    assert first == second and len(first) == 50
