@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.fitting import chance, logistic
@@ -16,10 +15,13 @@ from starloom.llm.scratch import written
 
 #: (verdict, host/path prefix).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Characters of context at most; a context needs so many URLs' characters to be kept; rows of the model at most.
-ORDER, LEAST, MODEL_ROWS = 5, 2, 500_000
-#: Counts, and remembered ratios, that a task holds before it empties them.
+#: Characters of context at most.
+ORDER = 5
+SIDES = ("allow", "block")
+#: Counts that a task holds before it empties them.
 HELD = 1 << 19
+#: Grams with at least one of so many uses are added up in place, at most so many; the others are joined.
+FREQUENT = 1 << 14
 START = "\x02"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,67 +45,91 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
     return out
 
 
-def context_counts(order: int) -> Callable:
-    """(allowed, url) to (context, next character, times in allowed URLs, in blocked ones), summed within the task."""
-    schema = pa.schema([("context", pa.string()), ("next", pa.string()), ("allow", pa.int64()), ("block", pa.int64())])
+def gram_counts(order: int) -> Callable:
+    """(allowed, url) to (gram, times in allowed URLs, in blocked ones, in all), summed within the task.
+
+    A gram is a character after its context of 0 to `order` characters; allowed is null for URLs that are no examples.
+    """
+    schema = pa.schema([("gram", pa.string()), ("allow", pa.int64()), ("block", pa.int64()), ("uses", pa.int64())])
 
     def rows(held: list[Counter]) -> pa.RecordBatch:
-        keys = list(held[0] | held[1])
-        return pa.RecordBatch.from_arrays([pa.array([k[:-1] for k in keys], pa.string()), pa.array([k[-1] for k in keys], pa.string()), *(pa.array([x[k] for k in keys], pa.int64()) for x in held)], schema=schema)
+        keys = list(held[0] | held[1] | held[2])
+        sides = [[x[k] for k in keys] for x in held]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(x, pa.int64()) for x in (*sides[:2], map(sum, zip(*sides, strict=True))))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Counter(), Counter()]
+        held = [Counter(), Counter(), Counter()]
         for batch in batches:
             for allowed, url in zip(batch.column("allowed").to_pylist(), batch.column("url").to_pylist(), strict=True):
                 url = START + url
-                held[not allowed].update(url[max(0, i - k) : i + 1] for i in range(1, len(url)) for k in range(min(order, i) + 1))
-                if len(held[0]) + len(held[1]) > HELD:
+                held[2 if allowed is None else not allowed].update(url[max(0, i - k) : i + 1] for i in range(1, len(url)) for k in range(min(order, i) + 1))
+                if sum(map(len, held)) > HELD:
                     yield rows(held)
-                    held = [Counter(), Counter()]
+                    held = [Counter(), Counter(), Counter()]
         yield rows(held)
 
     return run
 
 
-class Ratio:
-    """Log of the ratio of P(character | context) under allowed and blocked URLs, each interpolated over all its orders.
+def gram_ratios(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, uses, value) of each gram of longest context in urls (allowed, url), allowed being null for no example.
 
-    Each order weighs n / (n + kinds) against the shorter ones, n and kinds being the characters and different
+    value is the log of the ratio of P(character | context) under allowed and blocked URLs, each interpolated over all
+    its orders: an order weighs n / (n + kinds) against the shorter ones, n and kinds being the characters and different
     characters seen after the context (Witten and Bell); below all lies an even chance over 256.
+
+    All counts are kept. Each order is joined to the one below by the gram without its first character; so a key has at
+    most as many rows as there are characters. Every order is written.
+    """
+    counts = urls.mapInArrow(gram_counts(order), "gram string, allow long, block long, uses long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("allow", "block", "uses")])
+    size, node = F.length("gram"), Window.partitionBy(F.expr("left(gram, length(gram) - 1)"))
+    counts = counts.withColumns({f"{c}_n": F.sum(c).over(node) for c in SIDES} | {f"{c}_kinds": F.sum(F.signum(c)).over(node) for c in SIDES})
+    counts, levels = written(counts.withColumn("size", size)), []
+    for k in range(order + 1):
+        level = counts.where(F.col("size") == k + 1)
+        if k:
+            below = levels[-1].select(F.col("gram").alias("suffix"), *[F.col(f"{c}_p").alias(f"{c}_below") for c in SIDES])
+            level = level.join(below, F.expr("substr(gram, 2)") == F.col("suffix"))
+        else:
+            level = level.withColumns({f"{c}_below": F.lit(1 / 256) for c in SIDES})
+        seen = {c: F.col(f"{c}_n") + F.col(f"{c}_kinds") for c in SIDES}
+        p = {c: F.when(seen[c] > 0, (F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_below")) / seen[c]).otherwise(F.col(f"{c}_below")) for c in SIDES}
+        levels.append(written(level.select("gram", "uses", *[p[c].alias(f"{c}_p") for c in SIDES])))
+    whole = levels[-1]
+    for level in levels[:-1]:
+        whole = whole.unionAll(level.where(F.col("gram").startswith(START)))
+    return whole.select("gram", "uses", F.log(F.col("allow_p") / F.col("block_p")).alias("value"))
+
+
+def rated(rows: DataFrame, ratios: DataFrame, order: int = ORDER) -> DataFrame:
+    """rows, which have a column lower, with ratio: the mean value of the URL's characters, 0 for none; written.
+
+    The few grams that make up large shares of all uses are added up where they are found; all others are joined.
     """
+    total = ratios.agg(F.sum("uses")).first()[0] or 0
+    often = rows.sparkSession.sparkContext.broadcast({r["gram"]: r["value"] for r in ratios.where(F.col("uses") * FREQUENT >= total).select("gram", "value").collect()})
 
-    def __init__(self, rows: pd.DataFrame, order: int = ORDER):
-        self.order, self.held = order, {}
-        self.sides = []
-        for side in ("allow", "block"):
-            own = rows[rows[side] > 0]
-            nodes: dict[str, list] = defaultdict(lambda: [0, 0])
-            for context, n in zip(own["context"], own[side], strict=True):
-                node = nodes[context]
-                node[0] += n
-                node[1] += 1
-            self.sides.append((dict(nodes), dict(zip(own["context"] + own["next"], own[side], strict=True))))
-
-    def _chance(self, side: int, gram: str) -> float:
-        nodes, counts = self.sides[side]
-        p = 1 / 256
-        for at in range(len(gram) - 1, -1, -1):
-            if (node := nodes.get(gram[at:-1])) is None:
-                break
-            p = (counts.get(gram[at:], 0) + node[1] * p) / (node[0] + node[1])
-        return p
-
-    def of(self, url: str) -> float:
-        """The mean over the URL's characters; 0 for none."""
-        url, total = START + url, 0.0
+    def split(url: str) -> tuple[float, list[str]]:
+        url, known, total, rare = START + url, often.value, 0.0, []
         for i in range(1, len(url)):
-            gram = url[max(0, i - self.order) : i + 1]
-            if (x := self.held.get(gram)) is None:
-                if len(self.held) > HELD:
-                    self.held.clear()
-                x = self.held[gram] = math.log(self._chance(0, gram) / self._chance(1, gram))
-            total += x
-        return total / max(1, len(url) - 1)
+            gram = url[max(0, i - order) : i + 1]
+            if (x := known.get(gram)) is None:
+                rare.append(gram)
+            else:
+                total += x
+        return total, rare
+
+    @F.pandas_udf("total double, rare array<string>")
+    def parts(urls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([split(x) for x in urls], columns=["total", "rare"])
+
+    names = rows.columns
+    rows = written(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_parts", parts("lower")))
+    rest = rows.select("_at", F.explode("_parts.rare").alias("gram")).join(ratios.select("gram", "value"), "gram")
+    # sorted, so that reruns add up in one order
+    rest = rest.groupBy("_at").agg(F.aggregate(F.array_sort(F.collect_list("value")), F.lit(0.0), lambda a, x: a + x).alias("_rest"))
+    sums = F.col("_parts.total") + F.coalesce("_rest", F.lit(0.0))
+    return written(rows.join(rest, "_at", "left").select(*names, (sums / F.greatest(F.lit(1), F.length("lower"))).alias("ratio")))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, order: int = ORDER) -> DataFrame:
@@ -120,18 +146,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path")).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("lower", F.lower("url"))
-    ruled = rows.where("found is not null").select((F.col("found.verdict") == "allow").alias("allowed"), F.col("lower").alias("url"))
-    tested = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(3)) == 0
-    counts = written(ruled.where(~tested).mapInArrow(context_counts(order), "context string, next string, allow long, block long").groupBy("context", "next").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
-    model = Ratio(counts.where(F.col("allow") + F.col("block") >= LEAST).orderBy(F.desc(F.col("allow") + F.col("block")), "context", "next").limit(MODEL_ROWS).toPandas(), order)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def ratio(urls: pd.Series) -> pd.Series:
-        return urls.map(shared.value.of).astype("float64")
-
-    fitted = logistic(ruled.where(tested).select(F.when(F.col("allowed"), 1.0).otherwise(0.0).alias("label"), ratio("url").alias("ratio")), ["ratio"])
-    out = rows.withColumn("ratio", ratio("lower"))
+    allowed, tested = F.col("found.verdict") == "allow", F.pmod(F.xxhash64("lower", F.lit(3)), F.lit(3)) == 0
+    ratios = gram_ratios(rows.select(F.when(~tested, allowed).alias("allowed"), F.col("lower").alias("url")), order)
+    out = rated(rows, ratios, order)
+    fitted = logistic(out.where(F.col("found").isNotNull() & tested).select(F.when(allowed, 1.0).otherwise(0.0).alias("label"), "ratio"), ["ratio"])
     p = F.lit(None).cast("double") if fitted is None else chance(fitted.log_odds())
     return out.withColumn("chance", p).select(
         "page_id",

@@ -182,6 +182,41 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [20, urls.FREQUENT])
+def test_url_ratios_keep_every_count(spark, monkeypatch, frequent):
+    monkeypatch.setattr(urls, "FREQUENT", frequent)
+    hosts = ["x.org", "example.org", "x.com", "y.net"]
+    made = [f"http://{hosts[i % 4]}/{RANDOM.choice(['es', 'en', 'fr', 'de'])}/{''.join(RANDOM.choice('abcXyé1') for _ in range(RANDOM.randrange(9)))}" for i in range(120)]
+    made += [made[0], made[2], "", None]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    found = pages.withColumn("lower", F.lower(F.coalesce("url", F.lit("")))).withColumn("tested", F.pmod(F.xxhash64("lower", F.lit(3)), F.lit(3)) == 0)
+    lower = {r["page_id"]: (r["lower"], r["tested"]) for r in found.collect()}
+    judged = urls.judge(pages).collect()
+    sides = {"allow": Counter(), "block": Counter()}
+    for r in judged:
+        url, tested = lower[r["page_id"]]
+        if r["rule"] is not None and not tested:
+            url = urls.START + url
+            sides[r["verdict"]].update((url[i - k : i], url[i]) for i in range(1, len(url)) for k in range(min(5, i) + 1))
+
+    def chance(counts, context, c):
+        p = 1 / 256
+        for at in range(len(context), -1, -1):
+            after = {y: n for (x, y), n in counts.items() if x == context[at:]}
+            if after:
+                p = (after.get(c, 0) + len(after) * p) / (sum(after.values()) + len(after))
+        return p
+
+    assert all(sides.values()) and len(judged) == len(made)
+    logs = {}
+    for r in judged:
+        url = urls.START + lower[r["page_id"]][0]
+        grams = [(url[max(0, i - 5) : i], url[i]) for i in range(1, len(url))]
+        for g in set(grams) - set(logs):
+            logs[g] = math.log(chance(sides["allow"], *g) / chance(sides["block"], *g))
+        assert math.isclose(r["ratio"], sum(logs[g] for g in grams) / max(1, len(grams)), abs_tol=1e-9), r
+
+
 def test_without_removes_by_id_and_text(docs, rows):
     gone = docs.where("doc_id in (0, 52)").select(F.col("doc_id").alias("id"), scratch.row_key("doc_id", "text").alias("key"))
     left = scratch.without(docs, gone)
