@@ -20,8 +20,10 @@ PATTERNS = {
     "name": r"(?:\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? |\b(?:господин|госпожа) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What a text must hold to be looked at more closely.
-HINT = r"[0-9]{3}|@|[0-9]\.[0-9]|\b(?:M[rs]|Miss|Herr|Frau|Monsieur|Madame|Señor)|госпо"
+#: What a text must hold to be looked at more closely. Every match of PATTERNS holds one of these: an email "@", a key
+#: AKIA, a hex secret 16 hex digits in a row, an address digit-dot-digit, a card 13 digits with single separators, a
+#: phone three digits in a row, a name its title.
+HINT = r"[0-9]{3}|@|AKIA|[0-9a-f]{16}|[0-9]\.[0-9]|(?:[0-9][ -]?){12}[0-9]|\b(?:M[rs]|Miss|Herr|Frau|Monsieur|Madame|Señor)|госпо"
 #: Titles by gender, and the syllables that names are built from, by script; endings by gender.
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|госпожа)\b"
 SYLLABLES = {
