@@ -40,18 +40,21 @@ def separation(ra: Column, dec: Column, o_ra: Column, o_dec: Column) -> Column:
     return F.degrees(2 * F.asin(F.sqrt(half(o_dec - dec) + F.cos(F.radians(dec)) * F.cos(F.radians(o_dec)) * half(o_ra - ra))))
 
 
-def crossmatch(left: DataFrame, right: DataFrame, radius: float, most_dec: float = 85.0) -> DataFrame:
+def crossmatch(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Each left (item, ra, dec) with its nearest right one within `radius` degrees, or nulls: match, separation.
 
-    Sky cells are at least `radius` wide at every declination up to most_dec, so a match lies in one of nine cells. Rows
-    meet by equal cells; equally near matches go to the smallest item.
+    Cells are cubes around the unit sphere, at least as wide as the chord of `radius`, so a match lies in one of 27
+    cells at any ra and dec, poles and ra 0/360 included. Rows meet by equal cells; equally near matches go to the
+    smallest item.
     """
-    wide = radius / math.cos(math.radians(most_dec))
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    cells = left.select("item", "ra", "dec", F.floor(F.col("ra") / wide).alias("cx"), F.floor(F.col("dec") / radius).alias("cy"))
-    cells = cells.select("item", "ra", "dec", "cx", "cy", F.explode(around).alias("dx")).select("item", "ra", "dec", "cx", "cy", "dx", F.explode(around).alias("dy"))
-    cells = cells.select("item", "ra", "dec", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    other = right.select(F.col("item").alias("match"), F.col("ra").alias("o_ra"), F.col("dec").alias("o_dec"), F.floor(F.col("ra") / wide).alias("cx"), F.floor(F.col("dec") / radius).alias("cy"))
-    near = cells.join(other, ["cx", "cy"]).withColumn("separation", separation(F.col("ra"), F.col("dec"), F.col("o_ra"), F.col("o_dec"))).where(F.col("separation") <= radius)
+    wide = 2 * math.sin(math.radians(min(radius, 180.0)) / 2) * (1 + 1e-9) + 1e-12
+    ra, dec = F.radians("ra"), F.radians("dec")
+    at = {"cx": F.cos(dec) * F.cos(ra), "cy": F.cos(dec) * F.sin(ra), "cz": F.sin(dec)}
+    own = {c: F.floor(x / wide) for c, x in at.items()}
+    cells = left.select("item", "ra", "dec", *[x.alias(c) for c, x in own.items()])
+    for c in own:
+        cells = cells.withColumn(c, F.explode(F.array(*[F.col(c) + n for n in (-1, 0, 1)])))
+    other = right.select(F.col("item").alias("match"), F.col("ra").alias("o_ra"), F.col("dec").alias("o_dec"), *[x.alias(c) for c, x in own.items()])
+    near = cells.join(other, list(own)).withColumn("separation", separation(F.col("ra"), F.col("dec"), F.col("o_ra"), F.col("o_dec"))).where(F.col("separation") <= radius)
     best = near.groupBy("item").agg(F.min(F.struct(F.round("separation", 12).alias("r"), "match", "separation")).alias("b"))
     return left.join(best, "item", "left").select("item", F.col("b.match").alias("match"), F.col("b.separation").alias("separation"))

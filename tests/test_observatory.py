@@ -31,6 +31,15 @@ def test_crossmatch_finds_the_nearest(spark):
     assert found[1]["match"] == 6 and math.isclose(found[1]["separation"], 0.0005, rel_tol=1e-6) and found[2]["match"] is None
 
 
+def test_crossmatch_over_the_whole_sky(spark):
+    left = [(1, 359.999, 10.0), (2, 0.0, 89.999), (3, 180.0, -89.9995), (4, 20.0, 87.0), (5, -0.001, -40.0), (6, 100.0, 90.0), (7, 5.0, 5.0)]
+    right = [(11, 0.001, 10.0), (12, 180.0, 89.9985), (13, 0.0, -89.9995), (14, 20.1, 87.0), (15, 359.998, -40.0)]
+    schema = "item long, ra double, dec double"
+    found = {r["item"]: r for r in maps.crossmatch(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.01).collect()}
+    assert {i: r["match"] for i, r in found.items()} == {1: 11, 2: 12, 3: 13, 4: 14, 5: 15, 6: 12, 7: None}
+    assert math.isclose(found[2]["separation"], 0.0025, rel_tol=1e-6)
+
+
 def test_every_query_has_a_name_and_sql():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
