@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Control strings of the template: a turn is OPEN role CLOSE text END.
@@ -79,26 +79,16 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     seen = visit(parts)
     role = escaped(F.coalesce(F.col(role_col), F.lit("")))
     one = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), seen["body"].alias("body"), role.alias("mark"), seen["refs"].alias("refs"), seen["tokens"].alias("tokens")).alias("t"),
-    )
-    chats = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    before, after = F.lit(OPEN), F.lit(CLOSE)
-    chats = chats.withColumn("heads", F.transform("turns", lambda t: F.concat(before, t["mark"], after)))
-    piece = F.zip_with("turns", "heads", lambda t, h: F.struct(t["role"].alias("role"), h.alias("head"), t["body"].alias("body"), (F.length(h) + F.length(t["body"]) + len(END)).alias("length")))
-    chats = chats.withColumn("pieces", piece)
-    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start: int, length: int>>").alias("spans"))
-    spans = F.aggregate(
-        "pieces",
-        start,
-        lambda a, p: F.struct(
-            (a["upto"] + p["length"]).alias("upto"),
-            F.when(p["role"] == "assistant", F.concat(a["spans"], F.array(F.struct((a["upto"] + F.length(p["head"]) + 1).alias("start"), F.length(p["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), seen["body"].alias("body"), role.alias("mark"), seen["refs"].alias("refs"), seen["tokens"].alias("tokens")
+    ).withColumn("head", F.concat(F.lit(OPEN), "mark", F.lit(CLOSE)))
+    # where each turn begins: a running sum, in the shuffle by conversation that the grouping needs too
+    upto = F.sum(F.length("head") + F.length("body") + len(END)).over(Window.partitionBy("conv_id").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, -1))
+    one = one.withColumn("at", F.coalesce(upto, F.lit(0)).cast("int"))
+    chats = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "at", "head", "refs", "tokens"))).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct((t["at"] + F.length(t["head"]) + 1).alias("start"), F.length(t["body"]).alias("length")))
     return chats.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
         spans.alias("loss_spans"),
         F.flatten(F.transform("turns", lambda t, n: F.transform(t["refs"], lambda r: F.struct(n.cast("long").alias("turn"), r["n"].alias("n"), r["type"].alias("type"), r["ref"].alias("ref"), r["tokens"].alias("tokens"))))).alias("refs"),
         F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("placeholder_tokens"),
