@@ -58,13 +58,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def taken_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The rows of df that the mix takes, with all their columns and size, source_size, target, copies and taken.
 
-    The thresholds are a row for each source, so texts meet them in a scan and aren't shuffled. df must not have
-    columns of those names.
+    The thresholds are a row for each source, so texts meet them in a scan and aren't shuffled. Columns of df keep
+    their names; where one has the name of a column of the mix, that of the mix is called mix_NAME, with as many mix_
+    as it takes. Rows of a source without words aren't taken. Null ids, texts and sources are as good as others.
     """
-    sized = df.select("*", size_of(text_col).alias("size"))
-    keyed = sized.withColumn("draw", draw(F.col(id_col), F.col(source_col), F.col("size")))
-    rows = written(keyed.select(F.col(source_col).alias("source"), "size", "draw"))
-    return decided(keyed, thresholds(rows, weights, share, cap), source_col).where("copies > 0").drop("draw")
+    names = df.columns
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row")
+    keyed = df.select(row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
+    keyed = keyed.withColumn("draw", draw(F.col("id"), F.col("source"), F.col("size"))).drop("id")
+    plan = thresholds(written(keyed.drop("row")), weights, share, cap)
+    taken = decided(keyed, plan).where("copies > 0")
+    taken_names = {c.lower() for c in names}
+
+    def free(name: str) -> str:
+        while name.lower() in taken_names:
+            name = f"mix_{name}"
+        return name
+
+    made = [F.col(c).alias(free(c)) for c in ("size", "source_size", "target", "copies", "taken")]
+    return taken.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], *made)
 
 
 def size_of(text_col: str) -> Column:
@@ -106,10 +118,13 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return written(plan.drop("s").withColumnRenamed("source", "p_source"))
 
 
-def decided(rows: DataFrame, plan: DataFrame, source_col: str = "source") -> DataFrame:
-    """Rows with size and draw, joined to their source's threshold: copies and taken."""
-    copies = F.col("times") + F.when(F.col("draw") < F.col("low"), F.lit(1)).otherwise(F.lit(0))
-    out = rows.join(plan, F.col(source_col).eqNullSafe(F.col("p_source"))).withColumn("copies", copies)
+def decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with size and draw, joined to their source's threshold: copies and taken.
+
+    `low` lies within the cap where a source has words: empty documents, which cost no budget, are held to the cap here.
+    """
+    copies = F.least(F.col("times") + F.when(F.col("draw") < F.col("low"), F.lit(1)).otherwise(F.lit(0)), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("copies", copies)
     return out.withColumn("taken", F.col("size") * F.col("copies")).drop("p_source", "times", "low")
 
 
