@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,10 @@ class Vocabulary:
         usable = [i for i in ids if not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i) or model.is_byte(i))]
         return Vocabulary({model.id_to_piece(i): model.get_score(i) for i in usable}, any(model.is_byte(i) for i in ids))
 
+    def digest(self) -> str:
+        """Of all pieces with their scores: vocabularies that differ in any have different ones."""
+        return hashlib.sha256(repr((self.bytes_, sorted(self.pieces.items()))).encode("utf-8", "surrogatepass")).hexdigest()
+
     def splits(self) -> bool:
         """Whether no piece has a space mark after another character, so that words can be counted one by one."""
         return not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
@@ -108,7 +113,7 @@ def words_marked(words: list[str]) -> list[str]:
     return [SPACE + w for w in words]
 
 
-_made: dict[int, Counter] = {}
+_made: dict[str, Counter] = {}
 
 
 def counted(vocabulary: object) -> Callable:
@@ -125,10 +130,10 @@ def counted(vocabulary: object) -> Callable:
 
 
 class _Shared:
-    """A broadcast with a number that workers can keep what they made of it under."""
+    """A broadcast with a name that workers can keep what they made of it under."""
 
-    def __init__(self, broadcast: object, number: int):
-        self.broadcast, self.id = broadcast, number
+    def __init__(self, broadcast: object, name: str):
+        self.broadcast, self.id = broadcast, name
 
     @property
     def value(self) -> Vocabulary:
@@ -142,6 +147,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     double precision. Null and empty texts have none. Texts are worked on whole, in linear time.
     """
     held = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary.read(vocabulary)
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast(held), hash((len(held.pieces), held.bytes_, tuple(sorted(held.pieces.items())[:2000]))))
+    shared = _Shared(docs.sparkSession.sparkContext.broadcast(held), held.digest())
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(counted(shared), f"id {kind}, n_chars long, n_tokens long").withColumnRenamed("id", "doc_id")
