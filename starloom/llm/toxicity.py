@@ -15,9 +15,9 @@ from starloom.llm.fitting import TRAIN_ROWS, Logistic, chance, labelled, logisti
 from starloom.llm.scratch import row_key, written
 from starloom.llm.spans import ALNUM, Words, slices
 
-#: Weight of the Dirichlet prior in words, its even part for each word, the standard errors that a word's log-odds must be from 0, what each word
-#: costs a segment, and the words that a model keeps, at most.
-PRIOR, EVEN, STANDARD_ERRORS, DRIFT, MODEL_WORDS = 500.0, 0.5, 3.0, 0.05, 50_000
+#: Weight of the Dirichlet prior in words, its even part for each word, the standard errors that a word's log-odds must be from 0, and what
+#: each word costs a segment.
+PRIOR, EVEN, STANDARD_ERRORS, DRIFT = 500.0, 0.5, 3.0, 0.05
 #: Bytes of the prefixes that stand in for words that the model doesn't know, longest first.
 PREFIXES = (8, 6)
 #: Expected number of chance segments in a text under which a segment is significant.
@@ -68,7 +68,7 @@ def fit_words(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
     """(label, text) to (word, score, clean_n): log-odds of a word or prefix among toxic and clean texts under a Dirichlet prior.
 
     The prior of a word is EVEN and `prior` times its share of all words, so a rare word needs more evidence. Words within
-    STANDARD_ERRORS of 0 have no row; of the others the MODEL_WORDS furthest from 0 stay.
+    STANDARD_ERRORS of 0 have no row; all others have. Their number is bounded by the labelled rows', not by the corpus.
     """
     counts = rows.mapInArrow(word_counts, "word long, toxic long, clean long, clean_n long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "clean_n")])
     counts = written(counts)
@@ -81,7 +81,7 @@ def fit_words(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
 
     error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     scored = counts.withColumn("score", log_odds(F.col("toxic"), t) - log_odds(F.col("clean"), c)).withColumn("far", F.abs("score") / error)
-    return scored.where((F.col("far") >= STANDARD_ERRORS) & (F.col("word") != 0)).orderBy(F.desc("far"), "word").limit(MODEL_WORDS).select("word", "score", "clean_n")
+    return scored.where((F.col("far") >= STANDARD_ERRORS) & (F.col("word") != 0)).select("word", "score", "clean_n")
 
 
 def scale_of(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -168,12 +168,13 @@ def fit(train: DataFrame) -> tuple[Model, Logistic | None]:
     shares = words["clean_n"].to_numpy(np.float64) / max(n, words["clean_n"].sum(), 1)
     scale = scale_of(np.append(scores - DRIFT, -DRIFT), np.append(shares, 1 - shares.sum()))
     model = Model(words["word"].to_numpy(np.int64), scores, scale, 0.0)
-    rest = train.where(held)
-    seen = written(detect(rest.select("id", "key", "text"), model).join(rest.select(F.col("key").alias("t_key"), "label"), F.col("key") == F.col("t_key")))
+    rest = train.where(held).dropDuplicates(["key"])  # a row repeated whole counts once here
+    labels = rest.select(F.col("key").alias("t_key"), "label")
+    seen = written(detect(rest.select("id", "key", "text"), model).join(labels, F.col("key") == F.col("t_key")))
     mean = seen.where("label <= 0.5 and best > -10").agg(F.avg("best")).first()[0]
     log_k = 0.0 if mean is None else min(5.0, max(-15.0, mean - EULER))  # the mean of the law is its place plus Euler's constant
     model.log_k = log_k
-    seen = detect(rest.select("id", "key", "text"), model).join(rest.select(F.col("key").alias("t_key"), "label"), F.col("key") == F.col("t_key"))
+    seen = detect(rest.select("id", "key", "text"), model).join(labels, F.col("key") == F.col("t_key"))
     return model, logistic(seen, FEATURES)
 
 
