@@ -17,9 +17,11 @@ BUCKET_BITS = 32768
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="starloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
