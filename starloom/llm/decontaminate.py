@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.scratch import bitmap, bits_for, in_bitmap, row_key, written
@@ -16,46 +16,64 @@ from starloom.llm.spans import ALNUM, Words, grams, rolling_min, slices
 SPAN, GRAM = 10, 5
 
 
-def fingerprints(hashes: np.ndarray, length: int, k: int = GRAM) -> np.ndarray:
-    """The winnowed fingerprint of each run of `length` words: the least hash of its k-grams.
+def selected(hashes: np.ndarray, of_word: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowing: places and hashes of the grams that are the least of some run of `length` words within a row.
 
-    Equal runs have equal fingerprints, so each shared run of `length` words shares one.
+    Of equal grams of a run the last is taken. Runs that overlap mostly share their least gram, so few are selected;
+    equal runs select the same gram at the same place, so every shared run is found at one that both have.
     """
-    k = min(k, length)
-    return rolling_min(grams(hashes, k), length - k + 1)
+    k = min(GRAM, length)
+    found = grams(hashes, k)
+    least = rolling_min(found, length - k + 1)
+    if not len(least):
+        return np.zeros(0, np.int64), found[:0]
+    at, first = np.zeros(len(least), np.int64), np.arange(len(least))
+    for j in range(length - k + 1):
+        at = np.where(found[j : j + len(least)] == least, first + j, at)
+    places = np.unique(at[of_word[: len(least)] == of_word[length - 1 :]])
+    return places, found[places]
 
 
-def _text(words: Words, at: int, length: int) -> bytes:
-    return b" ".join(words.data[s:e].tobytes() for s, e in zip(words.starts[at : at + length], words.ends[at : at + length], strict=True))
+def _texts(words: Words, low: int, high: int) -> list[str]:
+    return [words.data[s:e].tobytes().decode() for s, e in zip(words.starts[low:high], words.ends[low:high], strict=True)]
 
 
-_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("fingerprint", pa.int64()), ("run", pa.string())]))
+def _around(words: Words, at: int, length: int, low: int, high: int) -> tuple[str, list[str], list[str]]:
+    """A gram's text, the words before it, nearest first, and those after it, as far as a run with it reaches in its row."""
+    k = min(GRAM, length)
+    return " ".join(_texts(words, at, at + k)), _texts(words, max(low, at - length + k), at)[::-1], _texts(words, at + k, min(high, at + length))
 
 
-def item_runs(span: int) -> Callable:
-    """(id, text) to the runs of `span` words of each text; of a shorter text that isn't empty, the whole."""
+_STRINGS = pa.list_(pa.string())
+_PRINTS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("fingerprint", pa.int64()), ("gram", pa.string()), ("before", _STRINGS), ("after", _STRINGS)]))
+_PRINT = "length: long, fingerprint: long, gram: string, before: array<string>, after: array<string>"
+
+
+def item_prints(span: int) -> Callable:
+    """(id, text) to the fingerprints of each text for runs of `span` words; of a shorter text that isn't empty, of its own length."""
+    names = ["item", "length", "fingerprint", "gram", "before", "after"]
+    schema = pa.schema([("item", pa.string()), ("length", pa.int64()), ("fingerprint", pa.int64()), ("gram", pa.string()), ("before", _STRINGS), ("after", _STRINGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
             for words in slices(batch.column("text"), ALNUM, True):
-                hashes, keys, lengths, prints, texts = words.hashes(), [], [], [], []
+                hashes, out = words.hashes(), {n: [] for n in names}
                 for row in range(len(words)):
                     low, high = words.bounds[row : row + 2]
-                    if (length := min(span, high - low)) == 0:
+                    if (length := int(min(span, high - low))) == 0:
                         continue
-                    found = fingerprints(hashes[low:high], length).view(np.int64)
-                    keys += [ids[words.first + row].as_py()] * len(found)
-                    lengths += [length] * len(found)
-                    prints += found.tolist()
-                    texts += [_text(words, low + i, length).decode() for i in range(len(found))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, ids.type), pa.array(lengths, pa.int64()), pa.array(prints, pa.int64()), pa.array(texts, pa.string())], ["item", "length", "fingerprint", "run"])
+                    places, prints = selected(hashes[low:high], np.zeros(high - low, np.int64), length)
+                    for at, value in zip((places + low).tolist(), prints.view(np.int64).tolist(), strict=True):
+                        for name, x in zip(names, (ids[words.first + row].as_py(), length, value, *_around(words, at, length, low, high)), strict=True):
+                            out[name].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], schema.field(n).type) for n in names], schema=schema)
 
     return run
 
 
-def document_runs(lengths: list[int], held: np.ndarray, bits: int) -> Callable:
-    """(id, key, text) to n_words and the runs whose fingerprint may be one of the items'."""
+def document_prints(lengths: list[int], held: object, bits: int) -> Callable:
+    """(id, key, text) to n_words and the fingerprints that may be among the items'; held is a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,19 +83,27 @@ def document_runs(lengths: list[int], held: np.ndarray, bits: int) -> Callable:
                 of_word = np.repeat(np.arange(len(words)), np.diff(words.bounds))
                 rows: list[list] = [[] for _ in range(len(words))]
                 for length in lengths:
-                    prints = fingerprints(hashes, length)
-                    whole = of_word[: len(prints)] == of_word[length - 1 :]
-                    for at in np.flatnonzero(whole & in_bitmap(held, prints, bits)):
+                    places, prints = selected(hashes, of_word, length)
+                    some = in_bitmap(held.value, prints, bits)
+                    for at, value in zip(places[some].tolist(), prints[some].view(np.int64).tolist(), strict=True):
                         row = of_word[at]
-                        rows[row].append({"start": at - words.bounds[row], "length": length, "fingerprint": prints[at : at + 1].view(np.int64)[0], "run": _text(words, at, length).decode()})
+                        low, high = words.bounds[row : row + 2]
+                        gram, before, after = _around(words, at, length, low, high)
+                        rows[row].append({"start": at - low, "length": length, "fingerprint": value, "gram": gram, "before": before, "after": after})
                 counts.append(np.diff(words.bounds))
                 found += rows
             n_words = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), n_words, pa.array(found, _RUNS)], ["id", "key", "n_words", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), n_words, pa.array(found, _PRINTS)], ["id", "key", "n_words", "prints"])
 
     return run
 
 
+def _alike(a: str, b: str) -> Column:
+    """How many first entries two arrays share."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
     """One row for each document: doc_id, key (see `row_key`), n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -87,34 +113,32 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     empty texts have no words and no windows. Rows repeated whole get a row each; items that share an id count once;
     a null item id is not listed.
 
-    Winnowing with k-grams of GRAM words in runs of `span` words: a run's fingerprint is its least k-gram hash. A
-    bitmap of fixed size holds the items' fingerprints and lets documents drop almost all runs where they are read.
-    The rest meet the items' runs in a join on fingerprint and complete words, which makes the result exact; adjoining
-    runs then extend to whole hits. Shorter items are runs of their own length.
+    Winnowing: each run of `span` words, of an item or a document, selects the least hash of its grams of GRAM words, and
+    only those selected are kept, about two in seven. A bitmap of fixed size holds the items' and lets documents drop
+    almost all of theirs where they are read. The rest join on hash and gram, and each hit is extended word by word to
+    both sides, as far as a run with that gram can reach; it counts if the shared words make up a whole run, which makes
+    the result exact. Shorter items are runs of their own length. Items that look alike around a gram meet it as one.
+    Texts are taken whole; columns other than the id and the text, whatever their names, aren't looked at.
     """
-    runs = written(
+    prints = written(
         items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
-        .mapInArrow(item_runs(span), "item string, length long, fingerprint long, run string")
-        .distinct()
+        .mapInArrow(item_prints(span), f"item string, {_PRINT.replace(': ', ' ')}")
+        .groupBy("length", "fingerprint", "gram", F.col("before").alias("i_before"), F.col("after").alias("i_after"))
+        .agg(F.collect_set("item").alias("items"))
     )
-    n, lengths = runs.count(), sorted(x[0] for x in runs.select("length").distinct().collect())
+    n, lengths = prints.count(), sorted(x[0] for x in prints.select("length").distinct().collect())
     bits = bits_for(n, 1024)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(prints, "fingerprint", bits))
     found = written(
         docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-        .mapInArrow(
-            document_runs(lengths, bitmap(runs, "fingerprint", bits), bits),
-            f"id {docs.schema[id_col].dataType.simpleString()}, key long, n_words long, runs array<struct<start: long, length: long, fingerprint: long, run: string>>",
-        )
+        .mapInArrow(document_prints(lengths, held, bits), f"id {docs.schema[id_col].dataType.simpleString()}, key long, n_words long, prints array<struct<start: long, {_PRINT}>>")
         .withColumn("row", F.monotonically_increasing_id())
     )
-    hits = (
-        found.where(F.size("runs") > 0)
-        .select("row", F.explode("runs").alias("r"))
-        .select("row", "r.*")
-        .join(runs, ["length", "fingerprint", "run"])
-        .groupBy("row")
-        .agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"), F.collect_set("item").alias("items"))
-    )
+    met = found.where(F.size("prints") > 0).select("row", F.explode("prints").alias("r")).select("row", "r.*").join(prints, ["length", "fingerprint", "gram"])
+    back, on = _alike("before", "i_before"), _alike("after", "i_after")
+    gram = F.least(F.lit(GRAM), "length")
+    met = met.select("row", "items", "length", (F.col("start") - back).alias("start"), (F.col("start") + gram + on).alias("end"))
+    hits = met.where(F.col("end") - F.col("start") >= F.col("length")).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         F.array_sort("spans"),
