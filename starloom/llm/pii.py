@@ -17,10 +17,11 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[3-6](?:[0-9][ -]?){11,17}[0-9](?![0-9])",
     "phone": r"(?<![0-9A-Za-z])\+?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "name": r"(?:\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? |\b(?:господин|госпожа) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What a text must hold to be looked at more closely. Every match of PATTERNS holds one of these: an email "@", a key
+#: A person is named by a title and one or two words. Once named, these words are the person's throughout the document.
+PERSON = r"(?:\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? |\b(?:господин|госпожа) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+#: What a text must hold to be looked at more closely. Every match of PATTERNS and PERSON holds one of these: an email "@", a key
 #: AKIA, a hex secret 16 hex digits in a row, an address digit-dot-digit, a card 13 digits with single separators, a
 #: phone three digits in a row, a name its title.
 HINT = r"[0-9]{3}|@|AKIA|[0-9a-f]{16}|[0-9]\.[0-9]|(?:[0-9][ -]?){12}[0-9]|\b(?:M[rs]|Miss|Herr|Frau|Monsieur|Madame|Señor)|госпо"
@@ -33,7 +34,8 @@ SYLLABLES = {
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на"}
 #: Times that a surrogate is drawn anew before its entity is given up with an error.
 ATTEMPTS = 40
-KEY = "surrogates"
+#: Syllables of a name's surrogate at most: so many that any number of names finds free ones.
+MOST = 12
 
 
 def keyed(key: str, message: Column) -> Column:
@@ -49,12 +51,22 @@ def kind_of(entity: Column) -> Column:
     for kind, pattern in PATTERNS.items():
         fits = entity.rlike(f"^(?:{pattern})$")
         out = F.when(fits, F.lit(kind)) if out is None else out.when(fits, F.lit(kind))
-    return out.otherwise(F.lit("name"))
+    return out
+
+
+def people(text: Column) -> Column:
+    """A map from each word that names a person in the text to the gender, m or f, of the first title it stands with."""
+    named = F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PERSON), F.lit(0))), F.array().cast("array<string>"))
+    words = lambda p: F.slice(F.split(p, " "), F.lit(2), F.size(F.split(p, " ")))
+    gender = lambda p: F.when(p.rlike(FEMALE), F.lit("f")).otherwise(F.lit("m"))
+    each = F.flatten(F.transform(named, lambda p: F.transform(words(p), lambda w: F.struct(w.alias("word"), gender(p).alias("gender")))))
+    first = F.filter(each, lambda x, i: F.array_position(F.transform(each, lambda y: y["word"]), x["word"]) == i + 1)
+    return F.map_from_entries(first)
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    """What two mentions of one entity share: digits of cards and phones, lower-case addresses, names without title marks."""
-    return F.when(kind.isin("card", "phone"), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "email", F.lower(entity)).when(kind == "name", F.regexp_replace(entity, r"\.", "")).otherwise(entity)
+    """What two mentions of one entity share: digits of cards and phones, lower-case addresses."""
+    return F.when(kind.isin("card", "phone"), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "email", F.lower(entity)).otherwise(entity)
 
 
 def stream(key: str, kind: Column, canon: Column, attempt: Column, size: Column) -> Column:
@@ -101,7 +113,7 @@ def drawn(df: DataFrame, items: str, key: str) -> DataFrame:
 
     They have the kind, length and classes of characters of their entities. Cards keep their first digit and are valid
     by the Luhn rule if the entity is; phones keep their country code of digits before the last ten; addresses keep
-    their top-level domain; names keep title, gender and script. Every step reads what the step before has written, so
+    their top-level domain; words of names, whose canon is the gender and the word, keep gender and script. Every step reads what the step before has written, so
     that nothing is worked out twice.
     """
     fields = [f.name for f in df.schema[items].dataType.elementType.fields]
@@ -127,32 +139,26 @@ def drawn(df: DataFrame, items: str, key: str) -> DataFrame:
         email = F.concat(F.substr(poured, F.lit(1), size - F.length(top)), top)
         octets = F.concat_ws(".", *[(F.pmod(_byte(bits, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
         access = F.concat(F.lit("AKIA"), F.substr(poured, F.lit(5), F.lit(16)))
-        return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "email", email).when(kind == "ip", octets).when(kind == "access", access).when(kind == "name", _name(canon(x), bits)).otherwise(poured)
+        return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "email", email).when(kind == "ip", octets).when(kind == "access", access).when(kind == "name", _name(canon(x), bits, x["attempt"])).otherwise(poured)
 
     return add(df, surrogate=made)
 
 
-def _name(canon: Column, bits: Column) -> Column:
-    """The title, and as many new names of the title's gender in the same script; the last has one syllable more."""
-    words = F.split(canon, " ")
-    title, script = F.element_at(words, 1), F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    gender = F.when(canon.rlike(FEMALE), F.lit("f")).otherwise(F.lit("m"))
-
-    def part(k: Column) -> Column:
-        out = F.lit("")
-        for name, syllables in SYLLABLES.items():
-            of = F.array(*map(F.lit, syllables))
-            made = F.concat(*[F.element_at(of, F.pmod(_byte(bits, 4 * k + i), F.lit(len(syllables))) + 1) for i in range(4)])
-            end = F.when(gender == "f", F.lit(ENDINGS[name, "f"])).otherwise(F.lit(ENDINGS[name, "m"]))
-            out = F.when(script == name, F.concat(made, end)).otherwise(out)
-        return F.initcap(out)
-
-    names = F.transform(F.sequence(F.lit(1), F.size(words) - 1), part)
-    return F.concat_ws(" ", title, F.array_join(names, " "))
+def _name(canon: Column, bits: Column, attempt: Column) -> Column:
+    """A new word for one of a name, of its gender and script: four syllables and one more for each attempt, up to MOST."""
+    gender, word = F.substring(canon, 1, 1), F.substring(canon, 3, 1 << 30)
+    out = F.lit("")
+    for name, syllables in SYLLABLES.items():
+        of = F.array(*map(F.lit, syllables))
+        made = F.array(*[F.element_at(of, F.pmod(_byte(bits, F.lit(i)), F.lit(len(syllables))) + 1) for i in range(MOST)])
+        end = F.when(gender == "f", F.lit(ENDINGS[name, "f"])).otherwise(F.lit(ENDINGS[name, "m"]))
+        whole = F.concat(F.array_join(F.slice(made, F.lit(1), F.least(F.lit(MOST), attempt + 4)), ""), end)
+        out = F.when(word.rlike(r"\p{IsCyrillic}") == F.lit(name == "cyrillic"), whole).otherwise(out)
+    return F.initcap(out)
 
 
 def rendered(entity: Column, kind: Column, canon: Column) -> Column:
-    """The canonical surrogate in the mention's format: separators of numbers, letter case, marks after a title."""
+    """The canonical surrogate in the mention's format: separators of numbers, letter case."""
     chars = F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.substr(entity, i, F.lit(1)))
     start = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"))
 
@@ -163,8 +169,7 @@ def rendered(entity: Column, kind: Column, canon: Column) -> Column:
     numbers = F.aggregate(chars, start, pour)["text"]
     cased = F.array_join(F.zip_with(chars, F.split(canon, ""), lambda c, s: F.when(c.rlike("[A-Z]"), F.upper(s)).otherwise(s)), "")
     email = F.when(F.length(entity) == F.length(canon), cased).otherwise(canon)
-    name = F.when(entity.rlike(r"^\S+\. "), F.regexp_replace(canon, r"^(\S+) ", r"$1. ")).otherwise(canon)
-    return F.when(kind.isin("card", "phone"), numbers).when(kind == "email", email).when(kind == "name", name).otherwise(canon)
+    return F.when(kind.isin("card", "phone"), numbers).when(kind == "email", email).otherwise(canon)
 
 
 def collisions(entities: DataFrame, key: str) -> DataFrame:
@@ -178,7 +183,8 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
         return drawn(one, "items", key).select(F.explode("items").alias("x")).select("x.kind", "x.canon", "x.attempt", "x.surrogate")
 
     held = written(draw(entities.withColumn("attempt", F.lit(0))))
-    real = entities.select(F.col("kind").alias("r_kind"), F.col("canon").alias("r_canon"))
+    text = F.when(F.col("kind") == "name", F.substring("canon", 3, 1 << 30)).otherwise(F.col("canon"))
+    real = written(entities.select(F.col("kind").alias("r_kind"), text.alias("r_canon")).distinct())
     for attempt in range(1, ATTEMPTS + 1):
         first = F.min(F.struct("attempt", "canon")).alias("first")
         shared = held.groupBy("kind", "surrogate").agg(first, F.count("*").alias("n")).where("n > 1")
@@ -192,19 +198,30 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no distinct surrogates after {ATTEMPTS} draws")
 
 
-def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
-    """One row for each document: doc_id, text with surrogates, n_entities, kinds.
+def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, text with surrogates, n_entities, kinds. `key` is the secret of the surrogates.
 
     An entity has one surrogate throughout the corpus under a key, and different entities of a kind have different
     ones, none of which is an entity of the corpus. Surrogates are computed in place; only entities whose first draw
     collides travel, to the documents that hold them. Null texts stay null with no entities; empty texts stay empty.
-    Rows repeated whole get equal results.
+    Rows repeated whole get equal results, also those with a null id; texts are read whole; an empty df gives no rows.
+    Columns other than the id and the text, whatever their names, aren't looked at.
+
+    Names are found by their titles, and replaced word by word: the words of "Mr John Smith" are replaced alike in
+    "Mr. Smith", "Smith" and "John Smith" anywhere in that document, each counting as an entity, and titles stay. A
+    word that titles of both genders go with takes that of the first. Names that no title goes with aren't found.
     """
     text = F.col(text_col)
-    mentions = lambda: F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    held = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(mentions(), F.array().cast("array<string>")).alias("mentions"))
-    held = held.withColumn("items", F.transform("mentions", lambda m: F.struct(m.alias("entity"), kind_of(m).alias("kind"))))
-    held = held.withColumn("items", F.transform("items", lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), canonical(x["entity"], x["kind"]).alias("canon"), F.lit(0).alias("attempt"))))
+    held = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), people(text).alias("people"))
+    words = F.array_sort(F.map_keys("people"), lambda a, b: F.length(b) - F.length(a))
+    either = F.when(F.size("people") > 0, F.concat(F.lit(f"{ANY}|\\b(?:"), F.array_join(words, "|"), F.lit(")\\b"))).otherwise(F.lit(ANY))
+    held = held.withColumn("pattern", either)
+    mentions = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", "pattern", F.lit(0)))
+    held = held.withColumn("mentions", F.coalesce(mentions, F.array().cast("array<string>")))
+    gender = lambda m: F.try_element_at("people", m)
+    held = held.withColumn("items", F.transform("mentions", lambda m: F.struct(m.alias("entity"), F.coalesce(kind_of(m), F.lit("name")).alias("kind"), gender(m).alias("gender"))))
+    canon = lambda x: F.when(x["kind"] == "name", F.concat_ws(" ", F.coalesce(x["gender"], F.lit("m")), x["entity"])).otherwise(canonical(x["entity"], x["kind"]))
+    held = held.withColumn("items", F.transform("items", lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), canon(x).alias("canon"), F.lit(0).alias("attempt"))))
     each = written(held.where(F.size("mentions") > 0).select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.kind", "x.canon").distinct())
     redrawn = collisions(each.select("kind", "canon").distinct(), key)
     if redrawn.isEmpty():
@@ -219,7 +236,7 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
         return rendered(x["entity"], x["kind"], F.coalesce(other, x["surrogate"]))
 
     held = drawn(held, "items", key)
-    gaps = F.split("text", ANY, -1)
+    gaps = F.split("text", F.col("pattern"), -1)
     made = F.concat(F.transform("items", new), F.array(F.lit("")))
     whole = F.array_join(F.zip_with(gaps, made, lambda g, s: F.concat(g, s)), "")
     return held.select(
