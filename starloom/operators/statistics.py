@@ -18,7 +18,75 @@ def nmad(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """1.4826 times the median distance from the median, nulls and NaN left out."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     middle = rows.groupBy(*by).agg(F.percentile(value, 0.5).alias("middle"))
-    return rows.join(F.broadcast(middle), by).groupBy(*by).agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("middle")), 0.5)).alias("nmad"))
+    return rows.join(middle, by).groupBy(*by).agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("middle")), 0.5)).alias("nmad"))
+
+
+#: Values among which a quantile's is looked up at last, and buckets that a range is cut into before.
+FEW, BUCKETS = 10_000, 1000
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of a numeric column over all rows, between neighbours by a straight line; None without values.
+
+    The two values beside a quantile are found by counting: a range is cut into buckets, counted in one aggregate, and
+    the bucket that holds the place is cut again, until few values are left in it. No task holds all values.
+    """
+    x = F.col(value).cast("double")
+    rows = df.select(x.alias("x")).where("x is not null and not isnan(x)")
+    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+
+    def at(place: int) -> float:
+        left, right, before, held = low, high, 0, n
+        while held > FEW and left < right:
+            step = (right - left) / BUCKETS
+            bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("x") - left) / step))
+            inside = rows.where((F.col("x") >= left) & (F.col("x") <= right))
+            counts = inside.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").collect()
+            for r in counts:
+                if before + r["n"] > place:
+                    if (r["low"], r["high"]) == (left, right):  # no finer: the values differ by less than a bucket can tell
+                        return left
+                    left, right, held = r["low"], r["high"], r["n"]
+                    break
+                before += r["n"]
+        if left == right:
+            return left
+        few = rows.where((F.col("x") >= left) & (F.col("x") <= right)).groupBy("x").count().orderBy("x").collect()
+        for r in few:
+            before += r["count"]
+            if before > place:
+                return r["x"]
+        return right
+
+    out: list[float | None] = []
+    for share in shares:
+        if not n:
+            out.append(None)
+            continue
+        place = share * (n - 1)
+        a = at(int(place))
+        b = at(min(n - 1, int(place) + 1))
+        out.append((int(place) + 1 - place) * a + (place - int(place)) * b)
+    return out
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the number of each row from 0 in order of a unique key: ranges of keys, their counts, then a place in each."""
+    ranged = df.repartitionByRange(key).withColumn("_range", F.spark_partition_id())
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
+    firsts, upto = [], 0
+    for r in counts:
+        firsts += [F.lit(r["_range"]), F.lit(upto)]
+        upto += r["n"]
+    first = F.create_map(*firsts)[F.col("_range")] if firsts else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return ranged.withColumn(name, (first + place).cast("int")).drop("_range")
+
+
+def cut(x: Column, places: int = 6) -> Column:
+    """x cut to so many decimal places. A thousandth of a place is let off, as sums of floats differ in their last bits."""
+    unit = float(10**places)
+    return F.floor(x * unit + 0.001).cast("double") / unit
 
 
 def hashed(key: Column, seed: int) -> Column:
@@ -47,12 +115,12 @@ def amplitude(rows: DataFrame, by: list[str], model: Column) -> DataFrame:
     return rows.groupBy(*by).agg((up / F.nullif(down, F.lit(0.0))).alias("amplitude"))
 
 
-def smoothed(by: list[str], at: str, value: str, reach: int = 4, sigma: float = 2.0) -> Column:
-    """Gaussian mean of a sequence over `reach` samples to either side, over the samples that are there."""
+def smoothed(by: list[str], at: str, value: str, reach: int = 8, sigma: float = 2.0) -> Column:
+    """Gaussian mean of a sequence over `reach` samples to either side, over the samples that are there; a gap stays one."""
     w = Window.partitionBy(*by).orderBy(at)
     up, down = F.lit(0.0), F.lit(0.0)
     for d in range(-reach, reach + 1):
         g = math.exp(-0.5 * (d / sigma) ** 2)
         x = F.lag(value, d).over(w) if d >= 0 else F.lead(value, -d).over(w)
         up, down = up + F.coalesce(x * g, F.lit(0.0)), down + F.when(x.isNotNull(), g).otherwise(0.0)
-    return up / F.nullif(down, F.lit(0.0))
+    return F.when(F.col(value).isNotNull(), up / F.nullif(down, F.lit(0.0)))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.operators import maps, saliency, similarity, statistics
-from starloom.sources.relations import MODES, points, positions, sequences, slots, table, vectors
+from starloom.operators import linear, maps, saliency, similarity, statistics
+from starloom.sources.relations import CODES, MODES, points, positions, sequences, slots, table, vectors
+
+SLOTS = sum(width for _, width in MODES.values())
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,7 +195,9 @@ def q1_neighbour_preservation(spark: SparkSession, d: str) -> DataFrame:
 @query("a1_value_summary", "SELECT quantile_cont(p_retailprice, 0.01) AS low, quantile_cont(p_retailprice, 0.99) AS high, min(p_retailprice) AS least, max(p_retailprice) AS most FROM part")
 def a1_value_summary(spark: SparkSession, d: str) -> DataFrame:
     v = "p_retailprice"
-    return table(spark, d, "part").agg(F.percentile(v, 0.01).alias("low"), F.percentile(v, 0.99).alias("high"), F.min(v).alias("least"), F.max(v).alias("most"))
+    part = table(spark, d, "part")
+    low, high = statistics.quantiles(part, v, [0.01, 0.99])
+    return part.agg(F.lit(low).alias("low"), F.lit(high).alias("high"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
 @query(
@@ -205,8 +209,8 @@ SELECT item, CASE WHEN value IS NULL THEN 64 ELSE least(31, greatest(0, floor((v
 def f3_color_bins(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
     rows = table(spark, d, "part").select(key.alias("item"), F.when(key % 11 == 0, None).when(key % 7 == 0, F.col("p_size") * 40.0).otherwise(F.col("p_retailprice")).alias("value"), (key % 7 == 0).alias("predicted"))
-    ends = rows.agg(F.percentile("value", 0.01).alias("lo"), F.percentile("value", 0.99).alias("hi"))
-    return rows.crossJoin(F.broadcast(ends)).select("item", maps.color(F.col("value"), F.col("lo"), F.col("hi"), F.col("predicted")).alias("color"))
+    low, high = map(F.lit, statistics.quantiles(rows, "value", [0.01, 0.99]))
+    return rows.select("item", maps.color(F.col("value"), low, high, F.col("predicted")).alias("color"))
 
 
 @query("j2_points_left_join", f"WITH {_P} SELECT item, round(x, 6) AS x, round(y, 6) AS y, p_retailprice AS value FROM pt LEFT JOIN part ON p_partkey = item * 7")
@@ -304,9 +308,9 @@ def a18_weighted_profile(spark: SparkSession, d: str) -> DataFrame:
 def a19_quartile_split(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("o_totalprice")
     orders = table(spark, d, "orders")
-    edges = orders.agg(F.percentile("o_totalprice", [0.25, 0.5, 0.75]).alias("e"))
-    quartile = F.when(v <= F.col("e")[0], 1).when(v <= F.col("e")[1], 2).when(v <= F.col("e")[2], 3).otherwise(4)
-    return orders.crossJoin(F.broadcast(edges)).groupBy(quartile.alias("quartile")).agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"))
+    a, b, c = map(F.lit, statistics.quantiles(orders, "o_totalprice", [0.25, 0.5, 0.75]))
+    quartile = F.when(v <= a, 1).when(v <= b, 2).when(v <= c, 3).otherwise(4)
+    return orders.groupBy(quartile.alias("quartile")).agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"))
 
 
 @query("a11_lower_median", f"WITH {_V}, e AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v) SELECT label, i::INT AS i, round(quantile_disc(x, 0.5), 6) AS middle FROM e GROUP BY label, i")
@@ -415,9 +419,9 @@ def f4_magnitude(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.when(flux > 0, F.round(22.5 - 2.5 * F.log10(flux), 6)).alias("magnitude"))
 
 
-@query("f13_amplitude", "SELECT l_orderkey AS series, round(sum(CASE WHEN l_returnflag <> 'R' THEN 1 / l_quantity * (l_extendedprice / 1000) * l_linenumber ELSE 0 END) / nullif(sum(CASE WHEN l_returnflag <> 'R' THEN 1 / l_quantity * l_linenumber * l_linenumber ELSE 0 END), 0) + 0.000000013, 6) AS amplitude FROM lineitem GROUP BY l_orderkey")
+@query("f13_amplitude", "SELECT l_orderkey AS series, floor(sum(CASE WHEN l_returnflag <> 'R' THEN 1 / l_quantity * (l_extendedprice / 1000) * l_linenumber ELSE 0 END) / nullif(sum(CASE WHEN l_returnflag <> 'R' THEN 1 / l_quantity * l_linenumber * l_linenumber ELSE 0 END), 0) * 1000000 + 0.001) / 1000000 AS amplitude FROM lineitem GROUP BY l_orderkey")
 def f13_amplitude(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.amplitude(sequences(spark, d), ["series"], F.col("at")).select("series", F.round(F.col("amplitude") + 0.000000013, 6).alias("amplitude"))
+    return statistics.amplitude(sequences(spark, d), ["series"], F.col("at")).select("series", statistics.cut(F.col("amplitude")).alias("amplitude"))
 
 
 @query(
@@ -438,7 +442,7 @@ def q7_bias_and_outliers(spark: SparkSession, d: str) -> DataFrame:
     price, key = F.col("p_retailprice"), F.col("p_partkey")
     r = table(spark, d, "part").select("p_brand", ((price - (900 + key / 10.0 % 1000)) / (1 + price)).alias("d"))
     m = r.groupBy("p_brand").agg(F.percentile("d", 0.5).alias("m"))
-    out = r.join(F.broadcast(m), "p_brand").groupBy("p_brand")
+    out = r.join(m, "p_brand").groupBy("p_brand")
     return out.agg(F.round(F.max("m"), 6).alias("bias"), F.round(1.4826 * F.percentile(F.abs(F.col("d") - F.col("m")), 0.5), 6).alias("nmad"), F.round(F.avg(F.when(F.abs("d") > 0.15, 1.0).otherwise(0.0)), 6).alias("outliers"))
 
 
@@ -466,13 +470,20 @@ def s8_ordered_gather(spark: SparkSession, d: str) -> DataFrame:
 @query("k14_dense_subset", "WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS item FROM customer WHERE c_custkey % 13 = 0) SELECT item::INT AS item, o_orderkey FROM orders JOIN k ON o_custkey = c_custkey")
 def k14_dense_subset(spark: SparkSession, d: str) -> DataFrame:
     kept = table(spark, d, "customer").where("c_custkey % 13 = 0").select("c_custkey")
-    item = (F.row_number().over(Window.orderBy("c_custkey")) - 1).alias("item")
-    return table(spark, d, "orders").join(kept.select("c_custkey", item), F.col("o_custkey") == F.col("c_custkey")).select("item", "o_orderkey")
+    return table(spark, d, "orders").join(statistics.numbered(kept, "c_custkey", "item"), F.col("o_custkey") == F.col("c_custkey")).select("item", "o_orderkey")
+
+
+_WEIGHT = "exp(-0.5 * pow((b.k - a.k) / 2.0, 2))"
 
 
-@query("f11_smoothed", None)
+@query(
+    "f11_smoothed",
+    f"""WITH s AS (SELECT l_orderkey AS series, l_linenumber AS pos, avg(l_extendedprice / 1000) AS value FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY pos) AS k FROM s)
+SELECT a.series, a.pos AS "at", round(sum({_WEIGHT} * b.value) / sum({_WEIGHT}), 6) AS smooth FROM r a JOIN r b ON a.series = b.series AND abs(a.k - b.k) <= 8 GROUP BY a.series, a.pos""",
+)
 def f11_smoothed(spark: SparkSession, d: str) -> DataFrame:
-    return sequences(spark, d).select("series", "at", F.round(statistics.smoothed(["series"], "at", "value"), 6).alias("smooth"))
+    means = sequences(spark, d).groupBy("series", "at").agg(F.avg("value").alias("value"))
+    return means.select("series", "at", F.round(statistics.smoothed(["series"], "at", "value"), 6).alias("smooth"))
 
 
 @query(
@@ -481,5 +492,7 @@ def f11_smoothed(spark: SparkSession, d: str) -> DataFrame:
 )
 def b12_moments(spark: SparkSession, d: str) -> DataFrame:
     """Covariance of all pairs of dimensions (count, sums and products joined up map-side)."""
-    e = vectors(spark, d).select("vec", F.posexplode("vec").alias("i", "x")).select("i", "x", F.posexplode("vec").alias("j", "y"))
-    return e.groupBy((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")).agg(F.round(F.covar_pop("x", "y"), 9).alias("cov"))
+    width = SLOTS * CODES
+    cov = linear.covariance(*linear.moments(vectors(spark, d), "vec", width))
+    rows = [(i + 1, j + 1, float(cov[i, j])) for i in range(width) for j in range(width)]
+    return spark.createDataFrame(rows, "i int, j int, cov double").select("i", "j", F.round("cov", 9).alias("cov"))
