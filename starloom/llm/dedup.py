@@ -8,14 +8,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.scratch import written
 
 #: Content bytes that one open-addressing table may hold, in a task before and after the shuffle.
 TABLE_BYTES = 64 << 20
-#: Bits by which each level of the partitioning splits a bucket.
+#: Bits of the first level of the partitioning, at least, and those by which each further level splits a bucket.
 LEVEL_BITS = 10
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -74,6 +74,10 @@ def _order(size: int, key: int | None) -> tuple:
     return (size, key is not None, -(key or 0))
 
 
+#: What a content's row carries: rows with it, and of the one that stays its size, id, how many share these, and their order.
+_HELD = ("n", "size", "id", "ties", "tie")
+
+
 def local_contents(most: int, text_at: int) -> Callable:
     """Before the shuffle: one row for each content of a task, so that a hot content leaves a task at most a few times.
 
@@ -85,16 +89,15 @@ def local_contents(most: int, text_at: int) -> Callable:
         for batch in batches:
             ids, rows = batch.column("id"), batch.column("row")
             text = rows.field(text_at).fill_null("")
-            schema = pa.schema([*((c, pa.int64()) for c in ("hash", "bytes", "n", "size", "id", "ties")), batch.schema.field("row")])
+            hashes, ties = batch.column("hash").to_numpy().view(np.uint64), batch.column("tie").to_pylist()
+            schema = pa.schema([*((c, pa.int64()) for c in ("hash", *_HELD)), batch.schema.field("row")])
             for i, size in enumerate(pc.utf8_length(text).to_pylist()):
-                content = normalised(text[i].as_py())
-                hashed = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little")
-                n, key = table.number(content, hashed), ids[i].as_py()
+                n, key = table.number(normalised(text[i].as_py()), int(hashes[i])), ids[i].as_py()
                 if n == len(best):
-                    best.append([1, size, key, 1, rows[i].as_py()])
+                    best.append([1, size, key, 1, ties[i], rows[i].as_py()])
                     table.bytes += 4 * size
                 else:
-                    _merge(best[n], 1, size, key, 1, rows[i])
+                    _merge(best[n], 1, size, key, 1, ties[i], rows[i])
             if table.bytes > most:
                 yield from _out(table, best, schema)
                 table, best = ContentTable(), []
@@ -104,22 +107,23 @@ def local_contents(most: int, text_at: int) -> Callable:
     return run
 
 
-def _merge(held: list, n: int, size: int, key: int | None, ties: int, row: pa.Scalar) -> None:
+def _merge(held: list, n: int, size: int, key: int | None, ties: int, tie: int, row: pa.Scalar) -> None:
     held[0] += n
     old, new = _order(held[1], held[2]), _order(size, key)
     if new > old:
-        held[1:] = [size, key, ties, row.as_py()]
+        held[1:] = [size, key, ties, tie, row.as_py()]
     elif new == old:
         held[3] += ties
+        if tie < held[4]:
+            held[4:] = [tie, row.as_py()]
 
 
 def _out(table: ContentTable, best: list[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(best), 1000):
         part = best[at : at + 1000]
         hashes = np.array(table.hashes[at : at + 1000], np.uint64).view(np.int64)
-        sizes = [len(x) for x in table.contents[at : at + 1000]]
-        rows = pa.array([x[4] for x in part], schema.field("row").type)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(sizes, pa.int64()), *(pa.array([x[k] for x in part], pa.int64()) for k in range(4)), rows], schema=schema)
+        rows = pa.array([x[-1] for x in part], schema.field("row").type)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), *(pa.array([x[k] for x in part], pa.int64()) for k in range(len(_HELD))), rows], schema=schema)
 
 
 def bucket_contents(text_at: int) -> Callable:
@@ -128,9 +132,9 @@ def bucket_contents(text_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, best, bucket, schema = ContentTable(), [], None, None
         for batch in batches:
-            schema = pa.schema([("digest", pa.binary()), *((c, pa.int64()) for c in ("n", "size", "id", "ties")), batch.schema.field("row")])
+            schema = pa.schema([("digest", pa.binary()), *((c, pa.int64()) for c in _HELD), batch.schema.field("row")])
             rows, hashes = batch.column("row"), batch.column("hash").to_numpy().view(np.uint64)
-            depths, buckets, n, size, ids, ties = (batch.column(c).to_pylist() for c in ("depth", "bucket", "n", "size", "id", "ties"))
+            depths, buckets, n, size, ids, ties, tie = (batch.column(c).to_pylist() for c in ("depth", "bucket", *_HELD))
             for i, content in enumerate(rows.field(text_at)):
                 if (depths[i], buckets[i]) != bucket:
                     if best:
@@ -138,9 +142,9 @@ def bucket_contents(text_at: int) -> Callable:
                     table, best, bucket = ContentTable(), [], (depths[i], buckets[i])
                 at = table.number(normalised(content.as_py()), int(hashes[i]))
                 if at == len(best):
-                    best.append([n[i], size[i], ids[i], ties[i], rows[i].as_py()])
+                    best.append([n[i], size[i], ids[i], ties[i], tie[i], rows[i].as_py()])
                 else:
-                    _merge(best[at], n[i], size[i], ids[i], ties[i], rows[i])
+                    _merge(best[at], n[i], size[i], ids[i], ties[i], tie[i], rows[i])
         if best:
             yield from _groups(table, best, schema)
 
@@ -151,64 +155,76 @@ def _groups(table: ContentTable, best: list[list], schema: pa.Schema) -> Iterato
     for at in range(0, len(best), 1000):
         part = best[at : at + 1000]
         digests = pa.array([hashlib.sha256(x).digest() for x in table.contents[at : at + 1000]], pa.binary())
-        yield pa.RecordBatch.from_arrays([digests, *(pa.array([x[k] for x in part], pa.int64()) for k in range(4)), pa.array([x[4] for x in part], schema.field("row").type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([digests, *(pa.array([x[k] for x in part], pa.int64()) for k in range(len(_HELD))), pa.array([x[-1] for x in part], schema.field("row").type)], schema=schema)
+
+
+def content_hash(text: Column) -> Column:
+    """A 64-bit hash of the normalised text."""
+    return F.xxhash64(F.translate(F.coalesce(text, F.lit("")), _SPACE.decode(), ""))
+
+
+def deeper_buckets(sizes: DataFrame, first: int, table_bytes: int) -> list[tuple[int, DataFrame]]:
+    """(depth, buckets) level by level: the buckets of `depth` bits that hold more than a table and more than one hash.
+
+    sizes has (hash, bytes). A bucket that holds a single hash can't be split and needs no room, since its contents are
+    copies. The list ends with the first level where every bucket fits.
+    """
+    found, inside = [], sizes
+    for depth in range(first, 64, LEVEL_BITS):
+        of = inside.withColumn("bucket", F.shiftrightunsigned("hash", 64 - depth))
+        full = of.groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high")).where((F.col("bytes") > table_bytes) & (F.col("low") < F.col("high")))
+        full = written(full.select("bucket"))
+        if full.isEmpty():
+            break
+        found.append((depth, full))
+        inside = of.join(full, "bucket", "left_semi").drop("bucket")
+    return found
 
 
 def content_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES, rows: bool = True) -> DataFrame:
     """One row for each distinct normalised text: digest, n, size and id of the row that stays, ties, and that row.
 
-    1. Each task drops the copies among its own rows, comparing complete contents.
-    2. What is left is partitioned by content hash. A bucket of more than `table_bytes` is partitioned again by the
-       next bits, level by level, until every bucket fits; one that holds a single hash can't be split and needs no
-       room, since its contents are copies.
-    3. Spark writes the buckets to its shuffle files, and each is resolved by one open-addressing table.
+    1. A narrow pass over hashes and sizes plans the buckets: by so many bits of the hash that they hold a sixteenth
+       of `table_bytes` on average; a bucket of more than `table_bytes` is split by the next bits, level by level,
+       until every bucket fits.
+    2. Each task drops the copies among its own rows, comparing complete contents.
+    3. Spark writes the rest to its shuffle files by bucket, once, and one open-addressing table resolves each bucket.
 
     rows=False leaves out the other columns, for callers that need the groups alone. Null text is empty. `ties` counts
-    the rows that share size and id with the one that stays.
+    the rows that share size and id with the one that stays; of those the one with the least hash of text and row stays.
+    Ids are whole numbers.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns] if rows else [F.col(text_col)]
-    names = [f"c{i}" for i in range(len(columns))]
-    packed = df.select(F.col(id_col).cast("long").alias("id"), F.struct(*[c.alias(n) for c, n in zip(columns, names, strict=True)]).alias("row"))
+    fields = list(df.schema) if rows else [df.schema[text_col]]
+    columns = [F.col(f"`{f.name}`") for f in fields]
+    names = [f"c{i}" for i in range(len(fields))]
+    text, hashable = F.col(text_col), [c for c, f in zip(columns, fields, strict=True) if "map<" not in f.dataType.simpleString()]
+    packed = df.select(F.col(id_col).cast("long").alias("id"), content_hash(text).alias("hash"), F.xxhash64(text, *hashable).alias("tie"), F.struct(*[c.alias(n) for c, n in zip(columns, names, strict=True)]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
-    text_at = df.columns.index(text_col) if rows else 0
-    local = packed.mapInArrow(local_contents(table_bytes, text_at), f"hash long, bytes long, n long, size long, id long, ties long, row {kind}")
-    local = written(local.withColumn("bucket", F.shiftrightunsigned("hash", 64 - LEVEL_BITS)).withColumn("depth", F.lit(LEVEL_BITS)))
-    plan = local.select("hash", "bytes", "bucket", "depth")
-    splits = None
-    for depth in range(LEVEL_BITS, 64, LEVEL_BITS):
-        full = (
-            plan.where(F.col("depth") == depth)
-            .groupBy("bucket")
-            .agg(F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-            .where((F.col("bytes") > table_bytes) & (F.col("low") < F.col("high")))
-            .select("bucket", F.lit(depth).alias("depth"), F.lit(True).alias("full"))
-        )
-        full = written(full)
-        if full.isEmpty():
-            break
+    text_at = [f.name for f in fields].index(text_col)
+    sizes = written(df.select(content_hash(text).alias("hash"), (F.coalesce(F.octet_length(text), F.lit(0)) + 100).cast("long").alias("bytes")).groupBy("hash").agg(F.max("bytes").alias("bytes")))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    first = min(60, max(LEVEL_BITS, (16 * total // table_bytes).bit_length()))
+    longs = ", ".join(f"{c} long" for c in _HELD)
+    local = packed.mapInArrow(local_contents(table_bytes, text_at), f"hash long, {longs}, row {kind}")
+    local = local.withColumn("bucket", F.shiftrightunsigned("hash", 64 - first)).withColumn("depth", F.lit(first))
+    for depth, full in deeper_buckets(sizes, first, table_bytes):
         deeper = min(64, depth + LEVEL_BITS)
-
-        def refined(x: DataFrame, full: DataFrame = full, deeper: int = deeper) -> DataFrame:
-            split = F.coalesce("full", F.lit(False))
-            x = x.join(full, ["bucket", "depth"], "left")
-            x = x.withColumn("bucket", F.when(split, F.shiftrightunsigned("hash", 64 - deeper)).otherwise(F.col("bucket")))
-            return x.withColumn("depth", F.when(split, F.lit(deeper)).otherwise(F.col("depth"))).drop("full")
-
-        plan = refined(plan)
-        splits = [*(splits or []), refined]
-    for refined in splits or []:
-        local = refined(local)
+        split = (F.col("depth") == depth) & F.col("full_bucket").isNotNull()
+        local = local.join(full.withColumnRenamed("bucket", "full_bucket"), (F.col("bucket") == F.col("full_bucket")) & (F.col("depth") == depth), "left")
+        local = local.withColumn("bucket", F.when(split, F.shiftrightunsigned("hash", 64 - deeper)).otherwise(F.col("bucket"))).withColumn("depth", F.when(split, F.lit(deeper)).otherwise(F.col("depth"))).drop("full_bucket")
     sent = local.repartition("depth", "bucket").sortWithinPartitions("depth", "bucket")
-    groups = sent.mapInArrow(bucket_contents(text_at), f"digest binary, n long, size long, id long, ties long, row {kind}")
-    back = [F.col(f"row.{n}").alias(c) for n, c in zip(names, df.columns, strict=True)] if rows else []
-    return groups.select("digest", "n", "size", "id", "ties", F.struct(*back).alias("row")) if rows else groups.select("digest", "n", "size", "id", "ties")
+    groups = sent.mapInArrow(bucket_contents(text_at), f"digest binary, {longs}, row {kind}")
+    back = [F.col(f"row.{n}").alias(f.name) for n, f in zip(names, fields, strict=True)] if rows else []
+    kept = ["digest", "n", "size", "id", "ties"]
+    return groups.select(*kept, F.struct(*back).alias("row")) if rows else groups.select(*kept)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row that stays of each group of equal texts, with all its columns.
 
     Equal: identical without white space [\\x20\\x09-\\x0D]. The row with the most code points in the original text
-    stays, then the one with the smallest id (null last); of rows repeated whole, one.
+    stays, then the one with the smallest id (null last), then the one with the least hash of its row; of rows repeated
+    whole, one. Null texts count as empty; texts are compared whole; other columns may have any name. An empty df stays empty.
     """
     return content_groups(df, id_col, text_col).select("row.*")
 
