@@ -6,23 +6,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.components import components
+from starloom.llm.components import joined
 from starloom.llm.scratch import bitmap, bits_for, in_bitmap, row_key, written
 from starloom.llm.spans import NOT_SPACE, Words, grams, mixed, slices
 
 #: Words of a shingle. Two sets link when 4 * intersection >= 3 * union (0.75).
 SHINGLE = 5
 #: Shingles that a task counts at once, the count from which it reports one, and how many of the most frequent are told apart.
-CHUNK, REPORTED, FREQUENT = 4 << 20, 3, 1_000_000
-#: Classes that a list of a frequent shingle holds before it is split.
-LIST = 2000
-#: Rounds that compare lists with a leader, at most, and the pairs for each member of the lists that end them.
-ROUNDS, PAIRS_EACH = 3, 8
-#: Columns of 64 bits in the parity bitmap of a class.
-PARITY = [f"p{i}" for i in range(8)]
+CHUNK, REPORTED, FREQUENT = 2 << 20, 2, 1_000_000
+#: Classes in a short list, whose pairs are all candidates, so at most half as many pairs for each place as this.
+SHORT = 32
+#: Classes that a part of a list holds, about; a list of more is split.
+PART = 2000
+#: Rounds of leaders at most, and the share of open places that a round must link for another one to follow. Both decide cost alone.
+ROUNDS, GAIN = 6, 0.02
+#: Pairs of whole sets that a task holds at once.
+BATCH = 256
+#: Columns of 64 bits in the parity bitmap of a class, and in the same bitmap folded to half.
+PARITY, FOLDED = [f"p{i}" for i in range(32)], [f"f{i}" for i in range(16)]
 
 
 def shingle_sets(words: Words, n: int = SHINGLE) -> list[np.ndarray]:
@@ -98,17 +102,18 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield frequent()
 
 
-def prefixes(tokens: np.ndarray, counts: np.ndarray) -> Callable:
-    """(text) to the prefix of each set in rare-first order: token, part of its list (-1: not split), class, set size, place from 1.
+def prefixes(order: object, part_size: int = PART) -> Callable:
+    """(text) to the prefix of each set in rare-first order: token, part and parts of its list, class, set size, place from 1.
 
-    Order: the power of two in the shingle's count (0 where it isn't frequent), then the hash. Sets that link share a
-    token of their prefixes of n - ceil(0.75 n) + 1. Of equal sets a task sends one.
+    `order` is a broadcast of the frequent shingles, sorted, and their counts. Order: the power of two in the shingle's
+    count (0 where it isn't frequent), then the hash. Sets that link share a token of their prefixes of
+    n - ceil(0.75 n) + 1. Of equal sets a task sends one.
     """
-    ranks = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
-    parts = np.maximum(1, counts // LIST)
-    schema = pa.schema([("token", pa.int64()), ("part", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("token", "part", "parts", "sig", "n", "pos")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = order.value
+        ranks, split = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, np.maximum(1, counts // part_size)
         seen: set[int] = set()
         for batch in batches:
             for words in slices(batch.column("text"), NOT_SPACE, True):
@@ -118,26 +123,28 @@ def prefixes(tokens: np.ndarray, counts: np.ndarray) -> Callable:
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(sig)
-                    at = np.minimum(np.searchsorted(tokens, x), max(0, len(tokens) - 1))
-                    known = tokens[at] == x if len(tokens) else np.zeros(len(x), bool)
-                    rank = np.where(known, ranks[at], 0) if len(tokens) else np.zeros(len(x), np.int64)
                     first = len(x) - (3 * len(x) + 3) // 4 + 1
-                    order = np.argsort(rank, kind="stable")[:first]
-                    part = np.where(known, parts[at], 1)[order] if len(tokens) else np.ones(first, np.int64)
-                    out.append((x[order].view(np.int64), np.where(part > 1, np.int64(sig) % part, -1), np.full(first, sig), np.full(first, len(x)), np.arange(1, first + 1)))
+                    rank, parts = np.zeros(len(x), np.int64), np.ones(len(x), np.int64)
+                    if len(tokens):
+                        at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+                        known = tokens[at] == x
+                        rank[known], parts[known] = ranks[at[known]], split[at[known]]
+                    chosen = np.argsort(rank, kind="stable")[:first]
+                    parts = parts[chosen]
+                    out.append((x[chosen].view(np.int64), np.int64(sig) % parts, parts, np.full(first, sig), np.full(first, len(x)), np.arange(1, first + 1)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
     return run
 
 
-def wanted_sets(held: np.ndarray, bits: int) -> Callable:
-    """(key, text) to (sig, shingles) of the rows that may be wanted, as 8 bytes a shingle in order."""
+def wanted_sets(held: object, bits: int) -> Callable:
+    """(key, text) to (sig, shingles) of the rows that may be wanted, as 8 bytes a shingle in order; held is a broadcast."""
     schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(held, batch.column("key").to_numpy(zero_copy_only=False), bits)))
+            batch = batch.filter(pa.array(in_bitmap(held.value, batch.column("key").to_numpy(zero_copy_only=False), bits)))
             keys, at = batch.column("key"), 0
             for words in slices(batch.column("text"), NOT_SPACE, True):
                 sets = shingle_sets(words)
@@ -177,15 +184,19 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
-def _fits(pairs: DataFrame) -> DataFrame:
-    """Length and positional filters on pairs (sig, n, pos, o_sig, o_n, o_pos).
+def _may_link(n: Column, m: Column, pos: Column, o_pos: Column) -> Column:
+    """Length and positional filters on two sets of n and m shingles that share the ones at places pos and o_pos.
 
     Of the overlap that a link needs, all lies at or after the first shared shingle, so in either set that one's place
     is at most n - needed + 1; pairs that link share at least that shingle.
     """
-    n, m = F.col("n"), F.col("o_n")
     spare = F.ceil(3 * (n + m) / 7) - 1
-    return pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.col("pos") <= n - spare) & (F.col("o_pos") <= m - spare))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (pos <= n - spare) & (o_pos <= m - spare)
+
+
+def _fits(pairs: DataFrame) -> DataFrame:
+    """`_may_link` on pairs (sig, n, pos, o_sig, o_n, o_pos)."""
+    return pairs.where(_may_link(F.col("n"), F.col("o_n"), F.col("pos"), F.col("o_pos")))
 
 
 def _near(pairs: DataFrame, ours: list[str], theirs: list[str], n: str, m: str) -> DataFrame:
@@ -194,15 +205,16 @@ def _near(pairs: DataFrame, ours: list[str], theirs: list[str], n: str, m: str)
     return pairs.where(7 * differ <= F.col(n) + F.col(m))
 
 
-def _share(pairs: DataFrame, n: str, m: str, shared: str) -> DataFrame:
-    """Prefix count filter. Of the overlap that a link needs, at most ceil(0.75 * larger) - 1 lies after the prefixes."""
-    most = F.greatest(n, m)
-    return pairs.where(F.col(shared) >= F.ceil(3 * (F.col(n) + F.col(m)) / 7) - (F.ceil(3 * most / 4) - 1))
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, n, m), a < b, each pair once, of rows with sig, n, o_sig, o_n."""
+    back = F.col("sig") > F.col("o_sig")
+    either = lambda x, y, name: F.when(back, F.col(y)).otherwise(F.col(x)).alias(name)
+    return rows.select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b"), either("n", "o_n", "n"), either("o_n", "n", "m")).distinct()
 
 
-def _fetched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sets: DataFrame | None) -> DataFrame | None:
+def _fetched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sets: DataFrame | None) -> DataFrame:
     """The shingle sets of all classes in pairs; those that aren't there yet are made again from the texts."""
-    needed = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
+    needed = _sides(pairs)
     if sets is not None:
         needed = needed.join(sets.select("sig"), "sig", "left_anti")
     needed = written(needed.join(classes, "sig"))
@@ -210,53 +222,96 @@ def _fetched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sets: DataF
     if not count:
         return sets
     bits = bits_for(count, 64)
-    found = texts.mapInArrow(wanted_sets(bitmap(needed, "key", bits), bits), "key long, sig long, shingles binary")
+    held = texts.sparkSession.sparkContext.broadcast(bitmap(needed, "key", bits))
+    found = texts.mapInArrow(wanted_sets(held, bits), "key long, sig long, shingles binary")
     new = written(found.join(needed.withColumnsRenamed({"key": "w_key", "sig": "w_sig"}), (F.col("key") == F.col("w_key")) & (F.col("sig") == F.col("w_sig"))).select("sig", "shingles"))
+    if new.count() > count:  # rows repeated whole
+        new = written(new.dropDuplicates(["sig"]))
     return new if sets is None else sets.unionAll(new)
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """(sig), each class of pairs (a, b) once."""
+    return pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among pairs (a, b), written."""
+    """The links among pairs (a, b), written. Only the sets that these pairs need are moved."""
+    sets = sets.join(written(_sides(pairs)), "sig", "left_semi")
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("a_set")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return written(both.select("a", "b", "a_set", "b_set").mapInArrow(links, "a long, b long").distinct())
+    return written(both.select("a", "b", "a_set", "b_set").mapInArrow(links, "a long, b long"), BATCH)
 
 
 def _led(lists: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each list's leader with the members of other components, and of a split list's leaders with the first."""
-    fields = [c for c in lists.columns if c not in ("token", "part")]
-    member = F.struct(F.xxhash64("sig", F.lit(seed)).alias("h"), *fields)
-    heads = written(lists.groupBy("token", "part").agg(F.min(member).alias("m")))
+    """Pairs of each part's leader with its members of other components, and of the leaders of a list's parts with the first of them.
+
+    The first leaders are the members of most lists, which tend to be a group's middle; later ones are drawn anew for
+    each list and round.
+    """
+    fields = [c for c in lists.columns if c not in ("token", "part", "parts", "places")]
+    middle = -F.col("places") if seed == 0 else F.lit(0)
+    member = F.struct(middle.alias("o"), F.xxhash64("sig", "token", F.lit(seed)).alias("h"), *fields)
+    heads = written(lists.groupBy("token", "part", "parts").agg(F.min(member).alias("m")))
     named = [F.col(f"m.{c}").alias(f"o_{c}") for c in fields]
-    first = heads.groupBy("token").agg(F.min("m").alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", *named)
     pairs = lists.join(heads.select("token", "part", *named), ["token", "part"])
-    across = heads.select("token", *[F.col(f"m.{c}").alias(c) for c in fields]).join(first, "token")
+    several = heads.where("parts > 1")
+    first = several.groupBy("token").agg(F.min("m").alias("m")).select("token", *named)
+    across = several.select("token", *[F.col(f"m.{c}").alias(c) for c in fields]).join(first, "token")
     columns = fields + [f"o_{c}" for c in fields]
     return pairs.select(columns).unionAll(across.select(columns)).where("comp <> o_comp")
 
 
-def _rest(lists: DataFrame) -> DataFrame:
-    """All pairs of a token's classes in different components."""
-    other = lists.select("token", *[F.col(c).alias(f"o_{c}") for c in lists.columns if c not in ("token", "part")])
-    return lists.join(other, "token").where("sig < o_sig and comp <> o_comp")
-
+def _rest(lists: DataFrame, bits: DataFrame) -> DataFrame:
+    """All pairs of a token's classes in different components that pass the filters.
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    A list's largest component isn't paired with itself, so a group of near copies costs its members once for each class
+    that stays beside it. A list of several parts is dealt by pairs of parts, so no task gets it whole. Comparing takes
+    longer than reading, so rows are dealt to a fixed number of tasks, and bitmaps are compared here as folded ones, which
+    differ in no more bits than whole ones.
+    """
+    spark, folds = lists.sparkSession, len(PARITY) // len(FOLDED)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def folded(i: int) -> Column:
+        out = F.col(PARITY[i])
+        for k in range(1, folds):
+            out = out.bitwiseXOR(F.col(PARITY[i + k * len(FOLDED)]))
+        return out
+
+    sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
+    lists = lists.join(main, "token").withColumn("beside", F.col("comp") != F.col("main")).join(bits, "sig").withColumns({name: folded(i) for i, name in enumerate(FOLDED)})
+    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least(p, "part").alias("low"), F.greatest(p, "part").alias("high")))
+    fields = ["sig", "n", "pos", "part", "comp", "beside", *FOLDED]
+    cells = lists.select("token", F.explode(cell).alias("cell"), *fields)
+    other = cells.select("token", "cell", *[F.col(c).alias(f"o_{c}") for c in fields])
+    whole = (F.col("part") != F.col("o_part")) | (F.col("cell.low") == F.col("cell.high"))
+    once = ~F.col("o_beside") | (F.col("sig") < F.col("o_sig"))
+    pairs = cells.where("beside").repartition(tasks, "token", "cell").join(other.repartition(tasks, "token", "cell"), ["token", "cell"])
+    pairs = _fits(pairs.where((F.col("comp") != F.col("o_comp")) & whole & once))
+    return _near(pairs, FOLDED, [f"o_{c}" for c in FOLDED], "n", "o_n")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, rounds: int = ROUNDS, part_size: int = PART) -> DataFrame:
     """One row for each row of df: doc_id, key (see `row_key`), n_shingles, component_id.
 
     Words are [^\\x20\\x09-\\x0D]+ after A-Z is lower-cased; a set holds the distinct 5-word shingles, or the whole
     sequence of fewer words; null and empty texts have empty sets and link with nothing. Sets link at Jaccard 0.75 or
-    more. component_id is the smallest doc_id that links reach; a null doc_id counts as none.
+    more. component_id is the smallest doc_id that links reach; a null doc_id counts as none. Rows repeated whole get a
+    row each. Ids are whole numbers; other columns of df, whatever their names, aren't looked at. An empty df gives none.
 
     1. Equal sets are one class, so copies are compared once, as a class.
-    2. Each class sends its rare-first prefix; classes that link share a prefix token. Only tokens of two or more
-       classes stay.
-    3. Lists are compared with a leader first, in rounds with other leaders, under length, positional and bitmap filters; links
-       join components, and pairs within a component need no comparing. So a large group of near copies costs a few
-       comparisons for each member, not all pairs.
-    4. When few pairs are left between components, all of them are compared. No pair is left out: each is in one
-       component, ruled out by a filter that can't lose a link, or compared on its whole sets.
+    2. Each class sends its rare-first prefix; classes that link share a prefix token, and a token's classes are its list.
+    3. Of a list of at most `short` classes all pairs are candidates, in proportion to the lists' length.
+    4. Longer lists are compared with a leader in rounds: links join components, and pairs within a component need no
+       comparing. So a large group of near copies costs a few comparisons for each member, not all pairs. When rounds
+       link no more, what is left between different components of one list is paired.
+    5. Length, positional and bitmap filters, which can't lose a link, act as pairs are made; the rest are compared on
+       whole sets. Nothing is left out at any size. `short`, `rounds` and
+       `part_size` (classes of a part of a longer list) decide cost alone.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     longs = ", ".join(f"{c} long" for c in _ROWS.names[:-1])
     described = written(rows.mapInArrow(describe, f"{longs}, counted array<struct<token: long, n: long>>"))
@@ -271,59 +326,64 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .toArrow()
     )
     tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(tokens)
-    sent = df.select(F.col(text_col).alias("text")).mapInArrow(prefixes(tokens[order], counts[order]), "token long, part long, sig long, n long, pos long")
-    shared = sent.selectExpr("*", "min(sig) over (partition by token, part) as low", "max(sig) over (partition by token, part) as high")
-    lists = written(shared.where("part >= 0 or low < high").select("token", "part", "sig", "n", "pos").dropDuplicates(["token", "part", "sig"]))
+    at = np.argsort(tokens)
+    order = spark.sparkContext.broadcast((tokens[at], counts[at]))
+    sent = df.select(F.col(text_col).alias("text")).mapInArrow(prefixes(order, part_size), ", ".join(f"{c} long" for c in ("token", "part", "parts", "sig", "n", "pos")))
+    # one shuffle: classes of a token side by side, each once; short lists leave as pairs, longer ones as they are
+    list_, sorted_ = "partition by token, part", "partition by token, part order by sig"
+    shared = sent.selectExpr("*", f"min(sig) over ({list_}) as low", f"max(sig) over ({list_}) as high").where("parts > 1 or low < high").drop("low", "high")
+    shared = shared.selectExpr("*", f"lag(sig) over ({sorted_}) as last").where("last is null or last <> sig").drop("last")
+    shared = shared.selectExpr("*", f"count(*) over ({list_}) as size", f"collect_list(struct(sig as o_sig, n as o_n, pos as o_pos)) over ({sorted_} rows between {max(1, short - 1)} preceding and 1 preceding) as earlier")
+    is_long = (F.col("parts") > 1) | (F.col("size") > short)
+    likely = F.filter("earlier", lambda o: _may_link(F.col("n"), o["o_n"], F.col("pos"), o["o_pos"]))
+    shared = shared.select("token", "part", "parts", "sig", "n", "pos", is_long.alias("long"), F.when(~is_long, likely).alias("earlier"))
+    lists = written(shared.where(F.col("long") | (F.size("earlier") > 0)))
+    pairs = lists.where("not long").select("sig", "n", F.explode("earlier").alias("o")).select("sig", "n", "o.*")
     classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in PARITY]))
-    comps = _linked(lists, classes.drop("least"), rows.select("key", "text"))
-    if comps is not None:
-        classes = written(classes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp")))
-        least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-        classes = classes.join(least, "comp")
-    else:
-        classes = classes.withColumnRenamed("least", "component_id")
-    classes = written(classes.select(F.col("sig").alias("c_sig"), "component_id"))
-    return docs.join(classes, F.col("sig") == F.col("c_sig"), "left").select(
+    comps = _linked(_pairs(pairs), lists.where("long").select("token", "part", "parts", "sig", "n", "pos"), classes.drop("least"), rows.select("key", "text"), rounds)
+    classes = classes.select("sig", "least").join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp"))
+    classes = written(classes)
+    least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
+    classes = written(classes.join(least, "comp").select(F.col("sig").alias("c_sig"), "component_id"))
+    return docs.select("id", "key", "n", "sig").join(classes, F.col("sig") == F.col("c_sig"), "left").select(
         F.col("id").alias("doc_id"), "key", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def _linked(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(node, comp) of the classes that link; None if no pair is left to compare."""
-    bits, classes = classes.select("sig", *PARITY), classes.select("sig", "key")
-    places = F.collect_list(F.struct("token", "part", "pos")).alias("places")
-    held = left = written(lists.groupBy("sig", "n").agg(places).join(bits, "sig"))
-    edges = comps = sets = None
-    before = float("inf")
-    for seed in range(ROUNDS + 1):
-        if comps is None:
-            now = lists.withColumn("comp", F.col("sig"))
-        else:
-            # classes are labelled, and hand the label to each of their places; a list within one component stays so
-            of = left.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("comp", "sig").alias("comp"), F.explode("places").alias("place"))
-            of = of.select("place.*", "sig", "n", "comp")
-            several = of.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-            now = written(of.join(several, "token", "left_semi").join(bits, "sig"))
-            left = now.groupBy("sig", "n").agg(places)
-        members, pairs = now.groupBy("token").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
-        # rounds go on only while they settle lists in bulk
-        last = seed == ROUNDS or (pairs or 0) <= PAIRS_EACH * (members or 0) or 2 * members > before
-        before = members or 0
-        pairs = _fits(_rest(now) if last else _led(now, seed))
-        if PARITY[0] in now.columns:
-            pairs = _near(pairs, PARITY, [f"o_{c}" for c in PARITY], "n", "o_n")
-        pairs = pairs.select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b")).distinct()
-        for side, n in (("a", "n"), ("b", "m")):
-            of = held.select(F.col("sig").alias(side), F.col("n").alias(n), F.col("places.token").alias(f"{side}_tokens"), *[F.col(c).alias(f"{side}_{c}") for c in PARITY])
-            pairs = pairs.join(of, side)
-        pairs = _near(pairs, [f"a_{c}" for c in PARITY], [f"b_{c}" for c in PARITY], "n", "m").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
-        pairs = written(_share(pairs, "n", "m", "shared").select("a", "b"))
-        sets = _fetched(pairs, classes, texts, sets)
-        if sets is not None:
-            new = _compared(pairs, sets)
-            edges = new if edges is None else edges.unionAll(new)
-            comps = components(edges)
+def _linked(pairs: DataFrame, lists: DataFrame, classes: DataFrame, texts: DataFrame, rounds: int) -> DataFrame:
+    """(node, comp) of the classes that link, from the pairs of short lists and the longer lists."""
+    pairs, keys = written(pairs), classes.select("sig", "key")
+    # of most classes no bitmap is looked at: the others' are kept apart once
+    seen = written(_sides(pairs).unionAll(lists.select("sig")).distinct())
+    bits = written(classes.select("sig", *PARITY).join(seen, "sig", "left_semi"))
+    marked = lambda side: bits.select(F.col("sig").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in PARITY])
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(marked("a"), "a").join(marked("b"), "b")
+        return _near(both, [f"a_{c}" for c in PARITY], [f"b_{c}" for c in PARITY], "n", "m")
+
+    many = lists.groupBy("sig").agg(F.count("*").alias("places"))
+    now = written(lists.join(many, "sig").withColumn("comp", F.col("sig")))
+    comps = sets = None
+    for seed in range(rounds + 2):
+        last = seed == rounds + 1
+        if comps is not None:
+            of = now.drop("comp").join(comps, F.col("sig") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "sig"))
+            open_ = of.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+            now = written(of.join(open_, "token", "left_semi"))
+            places = now.count()
+            if not places:
+                return comps
+            last = last or gained < GAIN * places
+        made = _pairs(_rest(now, bits) if last else _fits(_led(now, seed)))
+        made = near(made if comps is not None else made.unionAll(pairs).distinct())
+        made = written(made.select("a", "b"))
+        gained = 0
+        if not made.isEmpty():
+            sets = _fetched(made, keys, texts, sets)
+            made = _compared(made, sets)
+            gained = made.count()
+        comps = joined(comps, made) if gained or comps is None else comps
         if last:
             return comps
-    return comps
+    raise AssertionError("the last round returns")

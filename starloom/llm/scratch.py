@@ -27,15 +27,22 @@ def folder(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage, survives lost executors, and gives the planner the true size of the table, so that it
-    broadcasts the table only below its own threshold.
+    broadcasts the table only below its own threshold. `batch` is how many rows Arrow hands to Python at once, for
+    rows of many kilobytes.
     """
-    path = f"{folder(df.sparkSession)}/starloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, usual = f"{folder(spark)}/starloom/{uuid.uuid4().hex}", spark.conf.get(name)
+    try:
+        if batch is not None:
+            spark.conf.set(name, batch)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bits_for(rows: int, each: int = 256) -> int:

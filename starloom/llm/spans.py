@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -81,6 +81,7 @@ def slices(column: pa.Array, table: np.ndarray, lower: bool, most: int = SLICE)
         last = min(last, len(column))
         yield words(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], table, lower, first)
         first = last
+    pa.default_memory_pool().release_unused()  # a worker outlives its tasks
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool, first: int = 0) -> Words:
