@@ -16,7 +16,7 @@ from starloom.llm.spans import NOT_SPACE, Words, grams, mixed, slices
 #: Words of a shingle. Two sets link when 4 * intersection >= 3 * union (0.75).
 SHINGLE = 5
 #: Shingles that a task counts at once, the count from which it reports one, and how many of the most frequent are told apart.
-CHUNK, REPORTED, FREQUENT = 2 << 20, 2, 1_000_000
+CHUNK, REPORTED, FREQUENT = 2 << 20, 3, 1_000_000
 #: Classes in a short list, whose pairs are all candidates, so at most half as many pairs for each place as this.
 SHORT = 32
 #: Classes that a part of a list holds, about; a list of more is split.
@@ -103,13 +103,13 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(order: object, part_size: int = PART) -> Callable:
-    """(text) to the prefix of each set in rare-first order: token, part and parts of its list, class, set size, place from 1.
+    """(text) to the prefix of each set in rare-first order: token, part of its list (-1: not split), class, set size, place from 1.
 
     `order` is a broadcast of the frequent shingles, sorted, and their counts. Order: the power of two in the shingle's
     count (0 where it isn't frequent), then the hash. Sets that link share a token of their prefixes of
     n - ceil(0.75 n) + 1. Of equal sets a task sends one.
     """
-    schema = pa.schema([(c, pa.int64()) for c in ("token", "part", "parts", "sig", "n", "pos")])
+    schema = pa.schema([(c, pa.int64()) for c in ("token", "part", "sig", "n", "pos")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = order.value
@@ -131,7 +131,7 @@ def prefixes(order: object, part_size: int = PART) -> Callable:
                         rank[known], parts[known] = ranks[at[known]], split[at[known]]
                     chosen = np.argsort(rank, kind="stable")[:first]
                     parts = parts[chosen]
-                    out.append((x[chosen].view(np.int64), np.int64(sig) % parts, parts, np.full(first, sig), np.full(first, len(x)), np.arange(1, first + 1)))
+                    out.append((x[chosen].view(np.int64), np.where(parts > 1, np.int64(sig) % parts, -1), np.full(first, sig), np.full(first, len(x)), np.arange(1, first + 1)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
@@ -328,19 +328,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     at = np.argsort(tokens)
     order = spark.sparkContext.broadcast((tokens[at], counts[at]))
-    sent = df.select(F.col(text_col).alias("text")).mapInArrow(prefixes(order, part_size), ", ".join(f"{c} long" for c in ("token", "part", "parts", "sig", "n", "pos")))
+    sent = df.select(F.col(text_col).alias("text")).mapInArrow(prefixes(order, part_size), ", ".join(f"{c} long" for c in ("token", "part", "sig", "n", "pos")))
     # one shuffle: classes of a token side by side, each once; short lists leave as pairs, longer ones as they are
     list_, sorted_ = "partition by token, part", "partition by token, part order by sig"
-    shared = sent.selectExpr("*", f"min(sig) over ({list_}) as low", f"max(sig) over ({list_}) as high").where("parts > 1 or low < high").drop("low", "high")
+    shared = sent.selectExpr("*", f"min(sig) over ({list_}) as low", f"max(sig) over ({list_}) as high").where("part >= 0 or low < high").drop("low", "high")
     shared = shared.selectExpr("*", f"lag(sig) over ({sorted_}) as last").where("last is null or last <> sig").drop("last")
     shared = shared.selectExpr("*", f"count(*) over ({list_}) as size", f"collect_list(struct(sig as o_sig, n as o_n, pos as o_pos)) over ({sorted_} rows between {max(1, short - 1)} preceding and 1 preceding) as earlier")
-    is_long = (F.col("parts") > 1) | (F.col("size") > short)
+    is_long = (F.col("part") >= 0) | (F.col("size") > short)
     likely = F.filter("earlier", lambda o: _may_link(F.col("n"), o["o_n"], F.col("pos"), o["o_pos"]))
-    shared = shared.select("token", "part", "parts", "sig", "n", "pos", is_long.alias("long"), F.when(~is_long, likely).alias("earlier"))
+    likely = F.transform(likely, lambda o: F.struct(o["o_sig"].alias("o_sig"), o["o_n"].alias("o_n")))
+    shared = shared.select("token", "part", "sig", "n", "pos", is_long.alias("long"), F.when(~is_long, likely).alias("earlier"))
     lists = written(shared.where(F.col("long") | (F.size("earlier") > 0)))
     pairs = lists.where("not long").select("sig", "n", F.explode("earlier").alias("o")).select("sig", "n", "o.*")
-    classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in PARITY]))
-    comps = _linked(_pairs(pairs), lists.where("long").select("token", "part", "parts", "sig", "n", "pos"), classes.drop("least"), rows.select("key", "text"), rounds)
+    classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
+    comps = _linked(_pairs(pairs), lists.where("long").select("token", "part", "sig", "n", "pos"), docs.select("sig", *PARITY), classes.drop("least"), rows.select("key", "text"), rounds)
     classes = classes.select("sig", "least").join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp"))
     classes = written(classes)
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -350,20 +351,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _linked(pairs: DataFrame, lists: DataFrame, classes: DataFrame, texts: DataFrame, rounds: int) -> DataFrame:
+def _linked(pairs: DataFrame, lists: DataFrame, bits: DataFrame, keys: DataFrame, texts: DataFrame, rounds: int) -> DataFrame:
     """(node, comp) of the classes that link, from the pairs of short lists and the longer lists."""
-    pairs, keys = written(pairs), classes.select("sig", "key")
+    pairs = written(pairs)
     # of most classes no bitmap is looked at: the others' are kept apart once
     seen = written(_sides(pairs).unionAll(lists.select("sig")).distinct())
-    bits = written(classes.select("sig", *PARITY).join(seen, "sig", "left_semi"))
+    bits = written(bits.join(seen, "sig", "left_semi").dropDuplicates(["sig"]))
     marked = lambda side: bits.select(F.col("sig").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in PARITY])
 
     def near(pairs: DataFrame) -> DataFrame:
         both = pairs.join(marked("a"), "a").join(marked("b"), "b")
         return _near(both, [f"a_{c}" for c in PARITY], [f"b_{c}" for c in PARITY], "n", "m")
 
-    many = lists.groupBy("sig").agg(F.count("*").alias("places"))
-    now = written(lists.join(many, "sig").withColumn("comp", F.col("sig")))
+    many, parts = lists.groupBy("sig").agg(F.count("*").alias("places")), lists.groupBy("token").agg((F.max("part") + 1).alias("parts"))
+    parts = parts.withColumn("parts", F.greatest(F.lit(1), "parts"))
+    now = lists.join(many, "sig").join(parts, "token").withColumn("part", F.greatest(F.lit(0), "part"))
+    now = written(now.withColumn("comp", F.col("sig")))
     comps = sets = None
     for seed in range(rounds + 2):
         last = seed == rounds + 1
