@@ -21,7 +21,7 @@ CHUNK, REPORTED, FREQUENT = 2 << 20, 3, 1_000_000
 SHORT = 32
 #: Classes that a part of a list holds, about; a list of more is split.
 PART = 2000
-#: Rounds of leaders at most, and the share of open places that a round must link for another one to follow. Both decide cost alone.
+#: Rounds of leaders at most, and the share of open classes that a round must link for another one to follow. Both decide cost alone.
 ROUNDS, GAIN = 6, 0.02
 #: Pairs of whole sets that a task holds at once.
 BATCH = 256
@@ -243,6 +243,19 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "a_set", "b_set").mapInArrow(links, "a long, b long"), BATCH)
 
 
+def _starred(pairs: DataFrame) -> DataFrame:
+    """Of each class the pair (a, b) with the least other one: in a group where all are candidates, a star."""
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) between different components (node, comp); a class without one is its own."""
+    for c in "ab":
+        of = comps.select(F.col("node").alias(f"{c}_node"), F.col("comp").alias(f"{c}_comp"))
+        pairs = pairs.join(of, F.col(c) == F.col(f"{c}_node"), "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c)).drop(f"{c}_node")
+    return pairs.where("a_comp <> b_comp").select("a", "b")
+
+
 def _led(lists: DataFrame, seed: int) -> DataFrame:
     """Pairs of each part's leader with its members of other components, and of the leaders of a list's parts with the first of them.
 
@@ -308,7 +321,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
        comparing. So a large group of near copies costs a few comparisons for each member, not all pairs. When rounds
        link no more, what is left between different components of one list is paired.
     5. Length, positional and bitmap filters, which can't lose a link, act as pairs are made; the rest are compared on
-       whole sets. Nothing is left out at any size. `short`, `rounds` and
+       whole sets: first one pair for each class, then those that are still between different components. Nothing is left out at any size. `short`, `rounds` and
        `part_size` (classes of a part of a longer list) decide cost alone.
     """
     spark = df.sparkSession
@@ -374,19 +387,26 @@ def _linked(pairs: DataFrame, lists: DataFrame, bits: DataFrame, keys: DataFrame
             of = now.drop("comp").join(comps, F.col("sig") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "sig"))
             open_ = of.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
             now = written(of.join(open_, "token", "left_semi"))
-            places = now.count()
-            if not places:
+            open_ = now.select("sig").distinct().count()
+            if not open_:
                 return comps
-            last = last or gained < GAIN * places
+            last = last or gained < GAIN * open_
         made = _pairs(_rest(now, bits) if last else _fits(_led(now, seed)))
         made = near(made if comps is not None else made.unionAll(pairs).distinct())
         made = written(made.select("a", "b"))
         gained = 0
-        if not made.isEmpty():
-            sets = _fetched(made, keys, texts, sets)
-            made = _compared(made, sets)
-            gained = made.count()
-        comps = joined(comps, made) if gained or comps is None else comps
+        for stars in (True, False):
+            # one pair for each class joins most of a group, and pairs within a component need no comparing
+            some = written(_starred(made)) if stars else made
+            if not some.isEmpty():
+                sets = _fetched(some, keys, texts, sets)
+                found = _compared(some, sets)
+                new = found.count()
+                gained += new
+                comps = joined(comps, found) if new or comps is None else comps
+                made = written(_apart(made.join(some, ["a", "b"], "left_anti"), comps)) if stars else made
+            elif comps is None:
+                comps = joined(None, some)
         if last:
             return comps
     raise AssertionError("the last round returns")
