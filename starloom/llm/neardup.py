@@ -138,8 +138,17 @@ def prefixes(order: object, part_size: int = PART) -> Callable:
     return run
 
 
-def wanted_sets(held: object, bits: int) -> Callable:
-    """(key, text) to (sig, shingles) of the rows that may be wanted, as 8 bytes a shingle in order; held is a broadcast."""
+def brief(held: np.ndarray) -> bytes:
+    """The size of a set, then the 16-bit values on which an odd number of its shingles falls: a quarter of the bytes.
+
+    Where those of two sets differ, at least one shingle is in one of them alone.
+    """
+    values, n = np.unique((held >> np.uint64(44)).astype(np.uint16), return_counts=True)
+    return np.uint32(len(held)).tobytes() + values[n % 2 == 1].tobytes()
+
+
+def wanted_sets(held: object, bits: int, short: bool) -> Callable:
+    """(key, text) to (key, sig, shingles) of the rows that may be wanted: 8 bytes a shingle in order, or `brief` ones; held is a broadcast."""
     schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +158,8 @@ def wanted_sets(held: object, bits: int) -> Callable:
             for words in slices(batch.column("text"), NOT_SPACE, True):
                 sets = shingle_sets(words)
                 sigs = [signature(x) if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(sets)), pa.array(sigs, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+                packed = [brief(x) if short else x.tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(sets)), pa.array(sigs, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
                 at += len(sets)
 
     return run
@@ -184,6 +194,21 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
+def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, a_set, b_set), sets being `brief`, to the pairs that may link: those differ in at most (n + m) / 7 shingles."""
+    for batch in batches:
+        kept = []
+        for i in range(batch.num_rows):
+            x, y = (batch.column(c)[i].as_buffer() for c in ("a_set", "b_set"))
+            sizes = sum(int(np.frombuffer(s, np.uint32, 1)[0]) for s in (x, y))
+            both = np.concatenate([np.frombuffer(s, np.uint16, offset=4) for s in (x, y)])
+            both.sort(kind="stable")
+            same = int((both[1:] == both[:-1]).sum())
+            if 7 * (len(both) - 2 * same) <= sizes:
+                kept.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+
 def _may_link(n: Column, m: Column, pos: Column, o_pos: Column) -> Column:
     """Length and positional filters on two sets of n and m shingles that share the ones at places pos and o_pos.
 
@@ -212,22 +237,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b"), either("n", "o_n", "n"), either("o_n", "n", "m")).distinct()
 
 
-def _fetched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sets: DataFrame | None) -> DataFrame:
-    """The shingle sets of all classes in pairs; those that aren't there yet are made again from the texts."""
-    needed = _sides(pairs)
-    if sets is not None:
-        needed = needed.join(sets.select("sig"), "sig", "left_anti")
-    needed = written(needed.join(classes, "sig"))
-    count = needed.count()
-    if not count:
-        return sets
+def _fetched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, short: bool) -> DataFrame:
+    """(sig, shingles) of all classes in pairs, made again from the texts as they are read, so that no table of sets is kept."""
+    needed = written(_sides(pairs).join(classes, "sig").select(F.col("sig").alias("w_sig"), F.col("key").alias("w_key"), "times"))
+    count, most = needed.agg(F.count("*"), F.max("times")).first()
     bits = bits_for(count, 64)
-    held = texts.sparkSession.sparkContext.broadcast(bitmap(needed, "key", bits))
-    found = texts.mapInArrow(wanted_sets(held, bits), "key long, sig long, shingles binary")
-    new = written(found.join(needed.withColumnsRenamed({"key": "w_key", "sig": "w_sig"}), (F.col("key") == F.col("w_key")) & (F.col("sig") == F.col("w_sig"))).select("sig", "shingles"))
-    if new.count() > count:  # rows repeated whole
-        new = written(new.dropDuplicates(["sig"]))
-    return new if sets is None else sets.unionAll(new)
+    held = texts.sparkSession.sparkContext.broadcast(bitmap(needed, "w_key", bits))
+    found = texts.mapInArrow(wanted_sets(held, bits, short), "key long, sig long, shingles binary")
+    # dealt by sig alone, as the pairs are: a test of both keys at once would deal the sets twice
+    found = found.join(needed, (F.col("sig") == F.col("w_sig")) & (F.col("key").bitwiseXOR(F.col("w_key")) == 0)).select("sig", "shingles")
+    return found.dropDuplicates(["sig"]) if most > 1 else found  # rows repeated whole
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
@@ -235,12 +254,12 @@ def _sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among pairs (a, b), written. Only the sets that these pairs need are moved."""
-    sets = sets.join(written(_sides(pairs)), "sig", "left_semi")
+def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, short: bool = False) -> DataFrame:
+    """The links among pairs (a, b), written; or, by `brief` sets, the pairs that may be links."""
+    sets = _fetched(pairs, classes, texts, short)
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("a_set")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return written(both.select("a", "b", "a_set", "b_set").mapInArrow(links, "a long, b long"), BATCH)
+    return written(both.select("a", "b", "a_set", "b_set").mapInArrow(close if short else links, "a long, b long"), BATCH)
 
 
 def _starred(pairs: DataFrame) -> DataFrame:
@@ -353,7 +372,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = shared.select("token", "part", "sig", "n", "pos", is_long.alias("long"), F.when(~is_long, likely).alias("earlier"))
     lists = written(shared.where(F.col("long") | (F.size("earlier") > 0)))
     pairs = lists.where("not long").select("sig", "n", F.explode("earlier").alias("o")).select("sig", "n", "o.*")
-    classes = written(docs.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
+    classes = docs.where("sig is not null").groupBy("sig", "key").agg(F.min("id").alias("least"), F.count("*").alias("times"))
+    classes = written(classes.groupBy("sig").agg(F.min("least").alias("least"), F.min(F.struct("key", "times")).alias("k")).select("sig", "least", "k.*"))
     comps = _linked(_pairs(pairs), lists.where("long").select("token", "part", "sig", "n", "pos"), docs.select("sig", *PARITY), classes.drop("least"), rows.select("key", "text"), rounds)
     classes = classes.select("sig", "least").join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp"))
     classes = written(classes)
@@ -380,7 +400,7 @@ def _linked(pairs: DataFrame, lists: DataFrame, bits: DataFrame, keys: DataFrame
     parts = parts.withColumn("parts", F.greatest(F.lit(1), "parts"))
     now = lists.join(many, "sig").join(parts, "token").withColumn("part", F.greatest(F.lit(0), "part"))
     now = written(now.withColumn("comp", F.col("sig")))
-    comps = sets = None
+    comps = None
     for seed in range(rounds + 2):
         last = seed == rounds + 1
         if comps is not None:
@@ -398,9 +418,10 @@ def _linked(pairs: DataFrame, lists: DataFrame, bits: DataFrame, keys: DataFrame
         for stars in (True, False):
             # one pair for each class joins most of a group, and pairs within a component need no comparing
             some = written(_starred(made)) if stars else made
+            if not stars and not some.isEmpty():  # many of these are long sets with one passage in common
+                some = _compared(some, keys, texts, True)
             if not some.isEmpty():
-                sets = _fetched(some, keys, texts, sets)
-                found = _compared(some, sets)
+                found = _compared(some, keys, texts)
                 new = found.count()
                 gained += new
                 comps = joined(comps, found) if new or comps is None else comps
