@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,26 @@ def test_long_lists_lose_no_link(spark, short, rounds, part_size):
     assert Counter(tuple(r) for r in found.drop("key").collect()) == linked_rows(rows)
 
 
+def test_brief_sets_keep_every_link():
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (1, 6, 7, 40, 3000, 90_000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for apart in (0, n // 14, n // 7, n // 6, n // 2, n):
+            y = np.unique(np.concatenate([x[apart:], rng.integers(0, 1 << 63, apart).astype(np.uint64)]))
+            rows.append((x, y))
+    at = pa.array(range(len(rows)), pa.int64())
+
+    def kept(test, packed):
+        sets = [pa.array([packed(r[i]) for r in rows], pa.binary()) for i in (0, 1)]
+        batch = pa.RecordBatch.from_arrays([at, at, *sets], names=["a", "b", "a_set", "b_set"])
+        return {a for out in test(iter([batch])) for a in out.column("a").to_pylist()}
+
+    linked, close = kept(neardup.links, lambda s: s.tobytes()), kept(neardup.close, neardup.brief)
+    brute = {i for i, (x, y) in enumerate(rows) if 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))}
+    assert linked == brute and linked <= close and len(close) < len(rows)
+
+
 def test_mixing(docs, rows, empty):
     found = mixing.mix(docs)
     got = found.collect()
