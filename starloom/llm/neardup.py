@@ -139,12 +139,16 @@ def prefixes(order: object, part_size: int = PART) -> Callable:
 
 
 def brief(held: np.ndarray) -> bytes:
-    """The size of a set, then the 16-bit values on which an odd number of its shingles falls: a quarter of the bytes.
+    """The size of a set, then the places on which an odd number of its shingles falls, a bit each: two to four bits a shingle.
 
-    Where those of two sets differ, at least one shingle is in one of them alone.
+    Where those of two sets differ, at least one shingle is in one of them alone. There are enough places that sets with
+    little in common differ on more of them than sets that link may.
     """
-    values, n = np.unique((held >> np.uint64(44)).astype(np.uint16), return_counts=True)
-    return np.uint32(len(held)).tobytes() + values[n % 2 == 1].tobytes()
+    bits = 1 << max(6, (2 * len(held) - 1).bit_length())
+    places, n = np.unique((held >> np.uint64(20)) & np.uint64(bits - 1), return_counts=True)
+    odd = np.zeros(bits, bool)
+    odd[places[n % 2 == 1].astype(np.int64)] = True
+    return np.uint32(len(held)).tobytes() + np.packbits(odd).tobytes()
 
 
 def wanted_sets(held: object, bits: int, short: bool) -> Callable:
@@ -201,10 +205,11 @@ def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             x, y = (batch.column(c)[i].as_buffer() for c in ("a_set", "b_set"))
             sizes = sum(int(np.frombuffer(s, np.uint32, 1)[0]) for s in (x, y))
-            both = np.concatenate([np.frombuffer(s, np.uint16, offset=4) for s in (x, y)])
-            both.sort(kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
-            if 7 * (len(both) - 2 * same) <= sizes:
+            x, y = (np.frombuffer(s, np.uint8, offset=4) for s in (x, y))
+            while len(x) != len(y):  # the longer one folded to half has the places of a set half as large
+                longer, shorter = (x, y) if len(x) > len(y) else (y, x)
+                x, y = np.bitwise_xor(*np.split(longer, 2)), shorter
+            if 7 * int(np.bitwise_count(x ^ y).sum()) <= sizes:
                 kept.append(i)
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
@@ -417,17 +422,15 @@ def _linked(pairs: DataFrame, lists: DataFrame, bits: DataFrame, keys: DataFrame
         gained = 0
         for stars in (True, False):
             # one pair for each class joins most of a group, and pairs within a component need no comparing
-            some = written(_starred(made)) if stars else made
-            if not stars and not some.isEmpty():  # many of these are long sets with one passage in common
-                some = _compared(some, keys, texts, True)
-            if not some.isEmpty():
-                found = _compared(some, keys, texts)
-                new = found.count()
-                gained += new
-                comps = joined(comps, found) if new or comps is None else comps
-                made = written(_apart(made.join(some, ["a", "b"], "left_anti"), comps)) if stars else made
-            elif comps is None:
-                comps = joined(None, some)
+            tried = found = written(_starred(made)) if stars else made
+            for short in (True, False):  # many are long sets with one passage in common
+                if not found.isEmpty():
+                    found = _compared(found, keys, texts, short)
+            new = found.count()
+            gained += new
+            comps = joined(comps, found) if new or comps is None else comps
+            if stars and not made.isEmpty():
+                made = written(_apart(made.join(tried, ["a", "b"], "left_anti"), comps))
         if last:
             return comps
     raise AssertionError("the last round returns")
