@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import chat, decontaminate, dedup, mixing, neardup, pii, quality, tokens, toxicity, urls
+from starloom.llm import chat, decontaminate, dedup, mixing, neardup, pii, quality, repair, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summaries(repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), texts=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _OP3 = r"""
@@ -191,4 +196,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (r) JOIN (SELECT c.r, min(x.doc_id) AS component_id FROM c JOIN d x ON c.t = x.r GROUP BY c.r) m USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_jaccard_join": _OP8, "op3_chat_formatting": _OP3, "op4_mix_sources": _OP4, "op5_exact_dedup": _OP5, "op6_decontaminate": _OP6}
+ORACLE_SQL: dict[str, str] = {"op8_jaccard_join": _OP8, "op3_chat_formatting": _OP3, "op4_mix_sources": _OP4, "op5_exact_dedup": _OP5, "op6_decontaminate": _OP6, "op13_conversation_repair": repair.SQL}
