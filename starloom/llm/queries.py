@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import chat, decontaminate, dedup, mixing, neardup, pii, quality, repair, rules, tokens, toxicity, urls
+from starloom.llm import chat, decontaminate, dedup, mixing, neardup, pii, quality, repair, rules, search, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reasons", ",").alias("reasons"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.summaries(repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), texts=False))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
     "op11_quality_rules": op11_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -202,4 +207,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (r) JOIN (SELECT c.r, min(x.doc_id) AS component_id FROM c JOIN d x ON c.t = x.r GROUP BY c.r) m USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_jaccard_join": _OP8, "op3_chat_formatting": _OP3, "op4_mix_sources": _OP4, "op5_exact_dedup": _OP5, "op6_decontaminate": _OP6, "op11_quality_rules": rules.SQL, "op13_conversation_repair": repair.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_jaccard_join": _OP8, "op3_chat_formatting": _OP3, "op4_mix_sources": _OP4, "op5_exact_dedup": _OP5, "op6_decontaminate": _OP6, "op11_quality_rules": rules.SQL, "op12_lexical_search": search.SQL, "op13_conversation_repair": repair.SQL}

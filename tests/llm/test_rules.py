@@ -25,7 +25,7 @@ def rows():
     run = "one two three four five six seven eight"
     out += [(1000, None, "en", "hot", "", "", 0), (1001, "", None, None, "", "", 0), (1002, " \t\n\x0b\x0c\r", "en", None, "", "", 0), (None, text(40), None, "s1", "", "", 0), (None, text(40), None, "s1", "", "", 0)]
     out += [(1003, f"{run} a {run} b {run}", "en", "hot", "", "", 0), (1004, f"{run} {run}", "en", "hot", "", "", 0), (1005, "a " * 30, "en", "hot", "", "", 0), (1006, "same line here\n" * 9 + text(30), "en", "hot", "", "", 0)]
-    out += [(1007, " ".join(f"w{k}###" for k in range(60)), "en", "hot", "", "", 0), (1008, text(30000, 10**9), "en", "hot", "", "", 0), (1009, "é" * 50 + " ß|& " + text(25), "fr", "lone", "", "", 0), (1010, " ".join(f"{w} {w} {w}" for w in text(30).split()), "en", "s1", "", "", 0)]
+    out += [(1007, " ".join(f"w{k}###" for k in range(60)), "en", "hot", "", "", 0), (1008, text(6000, 10**9), "en", "hot", "", "", 0), (1009, "é" * 50 + " ß|& " + text(25), "fr", "lone", "", "", 0), (1010, " ".join(f"{w} {w} {w}" for w in text(30).split()), "en", "s1", "", "", 0)]
     out += [(1011, "\n".join(["x\r", "x", "x\r", " ", " ", "", ""]) + text(40), "en", "s1", "", "", 0), (3, out[3][1], *out[3][2:])]
     return out
 
