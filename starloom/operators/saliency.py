@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Other items that a saliency at any position looks at.
+SAMPLE = 512
+
 
 def partial_correlations(overlaps: DataFrame, query: int) -> DataFrame:
     """(slot, rho): correlation of a slot's standardised log overlap with the score, given the mean agreement.
@@ -20,3 +27,58 @@ def partial_correlations(overlaps: DataFrame, query: int) -> DataFrame:
     low = F.sqrt((1 - F.col("b") * F.col("b")) * (1 - F.col("c") * F.col("c")))
     rho = F.when(low > 1e-12, (F.col("a") - F.col("b") * F.col("c")) / low)
     return both.select("slot", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(rho, F.lit(0.0)))).alias("rho"))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2 ** 32 spread over that range (the finaliser of murmur3)."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(2246822507) % np.uint64(1 << 32)
+    x = (x ^ (x >> np.uint64(13))) * np.uint64(3266489909) % np.uint64(1 << 32)
+    return x ^ (x >> np.uint64(16))
+
+
+def draws(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """A number below 2 ** 32 for each query and item, keyed by the query."""
+    low, span = np.uint64(1 << 32), lambda x: x.astype(np.uint64) % np.uint64(1 << 32)
+    return mixed((mixed(span(queries))[:, None] + (span(items) * np.uint64(2654435761) % low)[None, :]) % low)
+
+
+def sampled(items: DataFrame, queries: DataFrame, size: int = SAMPLE, block: int = 4096) -> DataFrame:
+    """(q, item): for each of the queries (item), the `size` other items with the least draws, equal ones by item.
+
+    A bottom-k sample by a keyed hash: the same in every run and however the tables are partitioned. Blocks of queries meet
+    blocks of items, and each leaves its least draws of each query, so the table is never sorted.
+    """
+    dealt = lambda df, name: df.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(max(1, -(-df.count() // block)))).cast("int")).groupBy("b").agg(F.collect_list("item").alias(name)).drop("b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                q, found = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (0, 1))
+                found = np.sort(found)
+                drawn = draws(q, found).astype(np.int64)
+                drawn[q[:, None] == found[None, :]] = 1 << 40
+                best = np.argsort(drawn, axis=1, kind="stable")[:, :size]
+                least = np.take_along_axis(drawn, best, 1)
+                kept = least < 1 << 40
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, kept.sum(1))), pa.array(found[best][kept]), pa.array(least[kept])], ["q", "item", "draw"])
+
+    pairs = dealt(queries, "qs").crossJoin(dealt(items, "items")).mapInArrow(run, "q long, item long, draw long")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy("draw", "item"))
+    return pairs.withColumn("nth", nth).where(F.col("nth") <= size).select("q", "item")
+
+
+def slot_correlations(values: DataFrame, chosen: list[int], slots: int) -> DataFrame:
+    """(q, slot, rho) of rows (q, item, values): each slot's correlation with the score, given the control.
+
+    The score of an item is the sum of its values at the chosen slots, the control the mean of the others. One
+    aggregate of sums for each query; rho is 0 where it isn't defined.
+    """
+    wanted = sorted(set(chosen))
+    rest = [s for s in range(slots) if s not in wanted]
+    add = lambda which: sum((F.col("values")[s] for s in which), F.lit(0.0))
+    rows = values.select("q", "values", add(wanted).alias("score"), (add(rest) / max(1, len(rest))).alias("control"))
+    both = rows.groupBy("q").agg(F.corr("score", "control").alias("c"), F.array(*[F.struct(F.lit(s).alias("slot"), F.corr(F.col("values")[s], F.col("score")).alias("a"), F.corr(F.col("values")[s], F.col("control")).alias("b")) for s in range(slots)]).alias("x"))
+    low = F.sqrt((1 - F.col("b") * F.col("b")) * (1 - F.col("c") * F.col("c")))
+    rho = F.when(low > 1e-12, (F.col("a") - F.col("b") * F.col("c")) / low)
+    return both.select("q", "c", F.explode("x").alias("x")).select("q", "x.slot", "x.a", "x.b", "c").select("q", "slot", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(rho, F.lit(0.0)))).alias("rho"))

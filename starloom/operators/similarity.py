@@ -25,6 +25,27 @@ def validated(selection: dict[str, list[int]], known: dict[str, tuple[int, int]]
     return out
 
 
+def checked(selection: dict[str, list[int]], known: dict[str, tuple[int, int]], anywhere: set[str] | frozenset[str] = frozenset(), observed: dict[str, bool] | None = None) -> list[tuple[str, int]]:
+    """validated(), and errors for a mode that may match anywhere but has no slot chosen, or that the query wasn't observed in.
+
+    observed tells for each mode that needs an observation whether the query has one; other modes need none.
+    """
+    chosen = validated(selection, known)
+    modes = {m for m, _ in chosen}
+    if unselected := sorted(set(anywhere) - modes):
+        raise ValueError(f"any position asked for modes without a slot: {', '.join(unselected)}")
+    if unseen := sorted(m for m in modes if not (observed or {}).get(m, True)):
+        raise ValueError(f"the query has no observation in {', '.join(unseen)}")
+    return chosen
+
+
+def missing(queries: DataFrame, observations: DataFrame, selection: dict[str, list[int]]) -> DataFrame:
+    """(item, missing): the selected modes, in order of name, in which each of the queries (item) has no row (item, mode)."""
+    wanted = sorted(selection)
+    held = observations.where(F.col("mode").isin(wanted)).groupBy("item").agg(F.collect_set("mode").alias("held"))
+    return queries.join(held, "item", "left").select("item", F.array_except(F.array(*[F.lit(m) for m in wanted]), F.coalesce("held", F.array().cast("array<string>"))).alias("missing"))
+
+
 def log_overlap(p: Column, q: Column) -> Column:
     """Log of the floored sum of products; an aggregate."""
     return F.log(F.greatest(F.sum(p * q), F.lit(FLOOR)))
