@@ -41,7 +41,7 @@ def coded(rows: DataFrame, dist: str, mean: np.ndarray, directions: np.ndarray)
     The offset is the least coefficient and 255 steps reach the greatest, so no coefficient is off by more than half a
     step. Where all are equal the step is 0 and so are the codes. A null distribution has null codes.
     """
-    with_c = rows.withColumn("_c", times(F.zip_with(dist, _literal(mean), lambda a, b: a - b), directions))
+    with_c = rows.withColumn("_c", F.when(F.col(dist).isNotNull(), times(F.zip_with(dist, _literal(mean), lambda a, b: a - b), directions)))
     low, high = F.array_min("_c"), F.array_max("_c")
     with_c = with_c.withColumn("offset", low).withColumn("step", (high - low) / LEVELS)
     code = F.transform("_c", lambda c: F.when(F.col("step") > 0, F.floor((c - F.col("offset")) / F.col("step") + 0.5)).otherwise(0).cast("int"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Other items that a saliency at any position looks at.
@@ -23,12 +23,17 @@ def partial_correlations(overlaps: DataFrame, query: int) -> DataFrame:
     stats = rows.groupBy("slot").agg(F.avg("lo").alias("mean"), F.stddev_pop("lo").alias("dev"))
     rows = rows.join(F.broadcast(stats), "slot").withColumn("z", F.coalesce((F.col("lo") - F.col("mean")) / F.nullif("dev", F.lit(0.0)), F.lit(0.0)))
     items = rows.groupBy("item").agg(F.avg("z").alias("score"), F.avg("lo").alias("control"))
-    both = rows.join(items, "item").groupBy("slot").agg(F.corr("z", "score").alias("a"), F.corr("z", "control").alias("b"), F.corr("score", "control").alias("c"))
+    both = rows.join(items, "item").groupBy("slot").agg(correlation(F.col("z"), F.col("score")).alias("a"), correlation(F.col("z"), F.col("control")).alias("b"), correlation(F.col("score"), F.col("control")).alias("c"))
     low = F.sqrt((1 - F.col("b") * F.col("b")) * (1 - F.col("c") * F.col("c")))
     rho = F.when(low > 1e-12, (F.col("a") - F.col("b") * F.col("c")) / low)
     return both.select("slot", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(rho, F.lit(0.0)))).alias("rho"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """corr() that is null, not an error, where one side has no spread; an aggregate."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Numbers below 2 ** 32 spread over that range (the finaliser of murmur3)."""
     x = x.astype(np.uint64)
@@ -78,7 +83,7 @@ def slot_correlations(values: DataFrame, chosen: list[int], slots: int) -> DataF
     rest = [s for s in range(slots) if s not in wanted]
     add = lambda which: sum((F.col("values")[s] for s in which), F.lit(0.0))
     rows = values.select("q", "values", add(wanted).alias("score"), (add(rest) / max(1, len(rest))).alias("control"))
-    both = rows.groupBy("q").agg(F.corr("score", "control").alias("c"), F.array(*[F.struct(F.lit(s).alias("slot"), F.corr(F.col("values")[s], F.col("score")).alias("a"), F.corr(F.col("values")[s], F.col("control")).alias("b")) for s in range(slots)]).alias("x"))
+    both = rows.groupBy("q").agg(correlation(F.col("score"), F.col("control")).alias("c"), F.array(*[F.struct(F.lit(s).alias("slot"), correlation(F.col("values")[s], F.col("score")).alias("a"), correlation(F.col("values")[s], F.col("control")).alias("b")) for s in range(slots)]).alias("x"))
     low = F.sqrt((1 - F.col("b") * F.col("b")) * (1 - F.col("c") * F.col("c")))
     rho = F.when(low > 1e-12, (F.col("a") - F.col("b") * F.col("c")) / low)
     return both.select("q", "c", F.explode("x").alias("x")).select("q", "x.slot", "x.a", "x.b", "c").select("q", "slot", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(rho, F.lit(0.0)))).alias("rho"))
