@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.linear import met, tiles
 from starloom.operators.similarity import FLOOR
+from starloom.sources.shared import stored
 
 #: Scores of a tile, a matrix for each mode, from the distributions of its rows and of its columns (items x slots x codes).
 Scorer = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
@@ -41,12 +43,6 @@ def three_ways(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     return same, _logs(each.max(1)).sum(0), _logs(each.max(0)).sum(0)
 
 
-def tiles(rows: DataFrame, block: int, *more: str) -> DataFrame:
-    """(block, rows) of rows (item, dist, more...): at most about `block` of them in each, by a hash of the item."""
-    n = max(1, -(-rows.count() // block))
-    return rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("item", "dist", *more)).alias("rows"))
-
-
 def opened(rows: pa.StructArray, slots: int, *more: str) -> tuple[np.ndarray, ...]:
     """items, distributions (items x slots x codes) and further lists of a tile's rows, by rising item."""
     items = rows.field("item").to_numpy(zero_copy_only=False)
@@ -56,14 +52,19 @@ def opened(rows: pa.StructArray, slots: int, *more: str) -> tuple[np.ndarray, ..
 
 
 def symmetric(rows: DataFrame, modes: dict[str, tuple[int, int]], made: Callable[..., Iterator[pa.RecordBatch]], schema: str, block: int = 1024) -> DataFrame:
-    """All pairs of rows (item, dist) in tiles of i <= j; `made` gets each half of a tile, so every ordered pair once.
+    """All pairs of rows (item, dist) in pairs of tiles, each once; `made` gets each half of a tile, so every ordered pair once.
 
     made(mode, left items, right items, same, forward, backward): scores of the left items' slots (see three_ways) with the
     right items. Of a tile off the diagonal the other half is the transposed one, where best row slots are best column slots.
     """
     slots = sum(width for _, width in modes.values())
-    held = tiles(rows, block)
-    pairs = held.select(F.col("block").alias("i"), F.col("rows").alias("a")).crossJoin(held.select(F.col("block").alias("j"), F.col("rows").alias("b"))).where("i <= j")
+    held, n = tiles(rows, block, "dist")
+    held = stored(held)
+    # tile i meets tiles i to i + n / 2, round the circle: each two meet once, and all tiles meet as many
+    last = F.when((F.lit(n) % 2 == 0) & (F.col("block") >= n // 2), n // 2 - 1).otherwise(n // 2)
+    ahead = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last)))
+    sent = held.select(F.col("block").alias("i"), F.col("rows").alias("a"), ahead.alias("k")).withColumn("j", (F.col("i") + F.col("k")) % n)
+    pairs = sent.join(held.select(F.col("block").alias("j"), F.col("rows").alias("b")), "j").select("i", "a", "j", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +105,13 @@ def gram_means(rows: DataFrame, modes: dict[str, tuple[int, int]], block: int =
 def applied(left: DataFrame, right: DataFrame, score: Scorer, slots: int, width: int, block: int = 2048, turned: bool = False) -> DataFrame:
     """(item, y): for each row of left (item, dist), the sum over right (item, dist, x) of its scores times x, mode by mode.
 
-    x and y hold `width` numbers for each mode. With turned=True the rows of right are the scores' rows.
+    x and y hold `width` numbers for each mode. With turned=True the rows of right are the scores' rows. Sums of a block of
+    left rows are added up together, one table of numbers for each of right's tiles.
     """
-    pairs = tiles(left, block).select(F.col("rows").alias("a")).crossJoin(tiles(right, block, "x").select(F.col("rows").alias("b")))
+    ours, n_left = tiles(left, block, "dist")
+    theirs, n_right = tiles(right, block, "dist", "x")
+    # the side of fewer tiles is sent to the other's
+    pairs = met(ours, theirs, n_right) if n_left <= n_right else met(theirs, ours, n_left).select(F.col("b").alias("a"), F.col("a").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +120,40 @@ def applied(left: DataFrame, right: DataFrame, score: Scorer, slots: int, width:
                 _, theirs, x = opened(batch.column(1)[k].values, slots, "x")
                 matrices = [m.T for m in score(theirs, ours)] if turned else score(ours, theirs)
                 y = np.concatenate([m @ x[:, i * width : (i + 1) * width] for i, m in enumerate(matrices)], axis=1)
-                ends = pa.array(np.arange(len(items) + 1) * y.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(items), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], ["item", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(items[0])]), pa.array([items]), pa.array([y.ravel()])], ["first", "items", "y"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        items = table.column("items")[0].values
+        y = np.sort(np.stack([v.values.to_numpy() for v in table.column("y")]), axis=0).sum(0)  # sorted: the same sum in any order of tiles
+        ends = pa.array(np.arange(len(items) + 1) * (len(y) // len(items)), pa.int32())
+        return pa.table({"item": items, "y": pa.ListArray.from_arrays(ends, pa.array(y))})
+
+    # a block of left rows is known by its least item
+    return pairs.mapInArrow(run, "first long, items array<long>, y array<double>").groupBy("first").applyInArrow(summed, "item long, y array<double>")
+
 
-    parts = pairs.mapInArrow(run, "item long, y array<double>")
-    modes = len(score(np.ones((1, slots, 1)), np.ones((1, slots, 1))))
-    return parts.groupBy("item").agg(F.array(*[F.sum(F.col("y")[j]) for j in range(modes * width)]).alias("y"))
+def moments(rows: DataFrame, column: str, modes: int, width: int) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    """Count, means (modes * width) and for each mode the sums of products of its own numbers less their means.
+
+    A task sends a mode's sums as one row of width * (width + 1) numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros((modes, width)), np.zeros((modes, width, width))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, modes, width)
+            n, total, products = n + len(x), total + x.sum(0), products + np.einsum("nmi,nmj->mij", x, x, optimize=True)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(modes), pa.int32()), pa.array([n] * modes), pa.array(list(np.concatenate([total[:, None], products], axis=1).reshape(modes, -1)))], ["mode", "n", "sums"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        sums = np.sort(np.stack([v.values.to_numpy() for v in table.column("sums")]), axis=0).sum(0)
+        return pa.table({"mode": table.column("mode").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())]), "sums": pa.array([sums])})
+
+    kind = "mode int, n long, sums array<double>"
+    found = sorted(rows.select(column).mapInArrow(run, kind).groupBy("mode").applyInArrow(summed, kind).collect())
+    if not found:
+        return 0, np.zeros(modes * width), [np.zeros((width, width))] * modes
+    n, sums = found[0]["n"], np.array([r["sums"] for r in found]).reshape(modes, width + 1, width)
+    mean = sums[:, 0] / n
+    return n, mean.ravel(), [sums[m, 1:] - n * np.outer(mean[m], mean[m]) for m in range(modes)]

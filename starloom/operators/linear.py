@@ -59,10 +59,20 @@ def times(vec: Column, matrix: np.ndarray) -> Column:
     return F.array(*[one(row) for row in matrix])
 
 
-def tiles(rows: DataFrame, block: int) -> DataFrame:
-    """(block, items, vecs) of rows (item, vec): at most about `block` rows in each, by a hash of the item."""
+def tiles(rows: DataFrame, block: int, *columns: str) -> tuple[DataFrame, int]:
+    """(block, rows) of rows (item, columns...) and the number of blocks: at most about `block` rows in each, by a hash of the item."""
     n = max(1, -(-rows.count() // block))
-    return rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("item", "vec")).alias("rows"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("item", *columns)).alias("rows")), n
+
+
+def met(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
+    """(a, b): the rows of each of the left tiles beside those of each of the right ones, of which there are `blocks`.
+
+    Left tiles are sent to all right ones, which stay where they are: an equal join on the block's number, so that the
+    work is dealt out by right tiles and not by the product of two tables' partitions. The left side should be the smaller.
+    """
+    sent = left.select(F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return sent.join(right.select("block", F.col("rows").alias("b")), "block").select("a", "b")
 
 
 def gram_top(queries: DataFrame, gallery: DataFrame, k: int, block: int = 2048, score: Callable[[np.ndarray, np.ndarray], np.ndarray] = lambda q, g: q @ g.T) -> DataFrame:
@@ -71,8 +81,7 @@ def gram_top(queries: DataFrame, gallery: DataFrame, k: int, block: int = 2048,
     Blocks of queries meet blocks of the gallery; a tile is a matrix product that leaves its k best for each query, so
     what is shuffled after it doesn't grow with the product. Equal scores go to the smaller item.
     """
-    q = tiles(queries, block).select(F.col("rows").alias("q_rows"))
-    pairs = q.crossJoin(tiles(gallery, block).select("rows"))
+    pairs = met(tiles(queries, block, "vec")[0], *tiles(gallery, block, "vec"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

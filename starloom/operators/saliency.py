@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators.linear import met, tiles
+
 #: Other items that a saliency at any position looks at.
 SAMPLE = 512
 
@@ -54,12 +56,10 @@ def sampled(items: DataFrame, queries: DataFrame, size: int = SAMPLE, block: int
     A bottom-k sample by a keyed hash: the same in every run and however the tables are partitioned. Blocks of queries meet
     blocks of items, and each leaves its least draws of each query, so the table is never sorted.
     """
-    dealt = lambda df, name: df.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(max(1, -(-df.count() // block)))).cast("int")).groupBy("b").agg(F.collect_list("item").alias(name)).drop("b")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                q, found = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (0, 1))
+                q, found = (batch.column(i)[k].values.field("item").to_numpy(zero_copy_only=False) for i in (0, 1))
                 found = np.sort(found)
                 drawn = draws(q, found).astype(np.int64)
                 drawn[q[:, None] == found[None, :]] = 1 << 40
@@ -68,7 +68,7 @@ def sampled(items: DataFrame, queries: DataFrame, size: int = SAMPLE, block: int
                 kept = least < 1 << 40
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, kept.sum(1))), pa.array(found[best][kept]), pa.array(least[kept])], ["q", "item", "draw"])
 
-    pairs = dealt(queries, "qs").crossJoin(dealt(items, "items")).mapInArrow(run, "q long, item long, draw long")
+    pairs = met(tiles(queries, block)[0], *tiles(items, block)).mapInArrow(run, "q long, item long, draw long")
     nth = F.row_number().over(Window.partitionBy("q").orderBy("draw", "item"))
     return pairs.withColumn("nth", nth).where(F.col("nth") <= size).select("q", "item")
 
