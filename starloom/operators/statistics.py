@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,58 +32,114 @@ def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | No
     """Exact quantiles of a numeric column over all rows, between neighbours by a straight line; None without values.
 
     The two values beside a quantile are found by counting: a range is cut into buckets, counted in one aggregate, and
-    the bucket that holds the place is cut again, until few values are left in it. No task holds all values.
+    the bucket that holds the place is cut again, until few values are left in it. A level is one pass for all places. No
+    task holds all values. Infinite values have their places at the ends; nulls and NaN have none.
     """
+    infinite = float("inf")
     x = F.col(value).cast("double")
     rows = df.select(x.alias("x")).where("x is not null and not isnan(x)")
-    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
-
-    def at(place: int) -> float:
-        left, right, before, held = low, high, 0, n
-        while held > FEW and left < right:
-            step = (right - left) / BUCKETS
-            bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("x") - left) / step))
-            inside = rows.where((F.col("x") >= left) & (F.col("x") <= right))
-            counts = inside.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").collect()
-            for r in counts:
-                if before + r["n"] > place:
-                    if (r["low"], r["high"]) == (left, right):  # no finer: the values differ by less than a bucket can tell
-                        return left
-                    left, right, held = r["low"], r["high"], r["n"]
+    finite = F.abs("x") < infinite
+    n, below, above, low, high = rows.agg(F.count("*"), F.count_if(F.col("x") == -infinite), F.count_if(F.col("x") == infinite), F.min(F.when(finite, F.col("x"))), F.max(F.when(finite, F.col("x")))).first()
+    if not n:
+        return [None] * len(shares)
+    wanted = {min(n - 1, int(share * (n - 1)) + d) for share in shares for d in (0, 1)}
+    found = {p: -infinite if p < below else infinite for p in wanted if p < below or p >= n - above}
+    open_ = {p: (low, high, below, n - below - above) for p in wanted if p not in found}  # a range, rows before it, rows in it
+    while open_:
+        ranges = sorted({r for r in open_.values()})
+        each = []
+        for k, (left, right, _, held) in enumerate(ranges):
+            step = (right / BUCKETS - left / BUCKETS) or 1.0
+            bucket = F.least(F.lit(BUCKETS - 1.0), F.floor((F.col("x") - left) / step)).cast("double") if held > FEW else F.col("x")
+            each.append(F.when((F.col("x") >= left) & (F.col("x") <= right), F.struct(F.lit(k).alias("k"), bucket.alias("b"))))
+        inside = rows.select("x", F.explode(F.array_compact(F.array(*each))).alias("r"))
+        counts = inside.groupBy("r.k", "r.b").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("k", "b").collect()
+        for p, r in list(open_.items()):
+            left, right, before, held = r
+            for c in (c for c in counts if c["k"] == ranges.index(r)):
+                if before + c["n"] > p:
+                    # one value, or values too near each other for a bucket to tell them apart
+                    if c["low"] == c["high"] or (c["low"], c["high"]) == (left, right):
+                        found[p] = c["low"]
+                        del open_[p]
+                    else:
+                        open_[p] = (c["low"], c["high"], before, c["n"])
                     break
-                before += r["n"]
-        if left == right:
-            return left
-        few = rows.where((F.col("x") >= left) & (F.col("x") <= right)).groupBy("x").count().orderBy("x").collect()
-        for r in few:
-            before += r["count"]
-            if before > place:
-                return r["x"]
-        return right
-
+                before += c["n"]
     out: list[float | None] = []
     for share in shares:
-        if not n:
-            out.append(None)
-            continue
         place = share * (n - 1)
-        a = at(int(place))
-        b = at(min(n - 1, int(place) + 1))
-        out.append((int(place) + 1 - place) * a + (place - int(place)) * b)
+        a, b, part = found[int(place)], found[min(n - 1, int(place) + 1)], place - int(place)
+        out.append(a if a == b or part == 0 else (1 - part) * a + part * b)
     return out
 
 
+#: Ranges that `numbered` deals keys into, and keys that their bounds are taken from.
+NUMBER_RANGES, NUMBER_SAMPLE = 256, 20_000
+
+
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with the number of each row from 0 in order of a unique key: ranges of keys, their counts, then a place in each."""
-    ranged = df.repartitionByRange(key).withColumn("_range", F.spark_partition_id())
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
-    firsts, upto = [], 0
-    for r in counts:
-        firsts += [F.lit(r["_range"]), F.lit(upto)]
-        upto += r["n"]
-    first = F.create_map(*firsts)[F.col("_range")] if firsts else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn(name, (first + place).cast("int")).drop("_range")
+    """df with the number of each row from 0 in order of a unique key (null first): ranges of keys, their counts, then a place in each.
+
+    The ranges' bounds are keys from a sample, and a row's range follows from its key alone. So however often the rows are
+    worked out, dealt and merged, counts and places mean the same ranges; the sample only makes them even.
+    """
+    n = df.count()
+    sample = df.select(key).where(F.col(key).isNotNull()).sample(min(1.0, 2 * NUMBER_SAMPLE / max(1, n)), seed=1) if n > NUMBER_SAMPLE else df.select(key).where(F.col(key).isNotNull())
+    keys = sorted(r[0] for r in sample.limit(2 * NUMBER_SAMPLE).collect())
+    bounds = sorted({keys[len(keys) * i // NUMBER_RANGES] for i in range(1, NUMBER_RANGES)}) if n > NUMBER_SAMPLE and keys else []
+    of = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    ranged = df.withColumn("_range", F.when(F.col(key).isNull(), 0).otherwise(of))
+    counts = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    first, upto = [], 0
+    for k in range(len(bounds) + 1):
+        first.append(upto)
+        upto += counts.get(k, 0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first())) - 1
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in first]), F.col("_range") + 1)
+    return ranged.withColumn(name, (start + place).cast("int" if n < 1 << 31 else "long")).drop("_range")
+
+
+def lower_quantiles(rows: DataFrame, vec: str, width: int, share: float) -> list[float]:
+    """Of each place of a list, the value at floor(share * (n - 1)) of the sorted ones over all rows, by counting.
+
+    All places are narrowed at once: a pass counts each place's range in buckets within the tasks, which send a
+    histogram each, and goes on in the bucket that holds the value, until that has one value only.
+    """
+    n = rows.where(F.col(vec).isNotNull()).count()
+    if not n:
+        return []
+    place = int(share * (n - 1))
+    ends = rows.agg(*[f(F.col(vec)[j]) for f in (F.min, F.max) for j in range(width)]).first()
+    low, high, before = np.array(ends[:width], float), np.array(ends[width:], float), np.zeros(width, np.int64)
+    while (low < high).any():
+        held = rows.sparkSession.sparkContext.broadcast((low, high))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low, high = held.value
+            n, least, most = np.zeros((width, BUCKETS), np.int64), np.full((width, BUCKETS), np.inf), np.full((width, BUCKETS), -np.inf)
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                for j in range(width):
+                    v = x[(x[:, j] >= low[j]) & (x[:, j] <= high[j]), j]
+                    b = np.minimum(BUCKETS - 1, ((v - low[j]) / ((high[j] - low[j]) / BUCKETS or 1.0)).astype(np.int64))
+                    np.add.at(n[j], b, 1)
+                    np.minimum.at(least[j], b, v)
+                    np.maximum.at(most[j], b, v)
+            j, b = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(b), pa.array(n[j, b]), pa.array(least[j, b]), pa.array(most[j, b])], ["j", "b", "n", "low", "high"])
+
+        parts = rows.where(F.col(vec).isNotNull()).select(vec).mapInArrow(run, "j long, b long, n long, low double, high double")
+        counts = parts.groupBy("j", "b").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("j", "b").collect()
+        for j in range(width):
+            upto = before[j]
+            for c in (c for c in counts if c["j"] == j):
+                if upto + c["n"] > place:
+                    done = (c["low"], c["high"]) == (low[j], high[j])
+                    low[j], high[j], before[j] = c["low"], c["low"] if done else c["high"], upto
+                    break
+                upto += c["n"]
+    return [float(x) for x in low]
 
 
 def cut(x: Column, places: int = 6) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 
 def write_store(df: DataFrame, path: str, key: str, files: int | None = None) -> None:
@@ -14,16 +15,28 @@ def write_store(df: DataFrame, path: str, key: str, files: int | None = None) ->
 
 
 def write_parts(df: DataFrame, path: str, part: str) -> None:
-    """Add the rows of those parts that the store doesn't have yet, a folder for each part.
+    """Add the rows of those parts that the store doesn't have yet, a folder for each part; null is a part like others.
 
-    Spark commits a job's files together at its end, so a part is there whole or not at all; a rerun goes on with the rest.
+    Rows are written to a hidden folder, and each part's folder is then renamed into its place, so a part is there whole
+    or not at all. A rerun goes on with those that are missing and clears what a broken run has left.
     """
-    try:
-        done = df.sparkSession.read.parquet(path).select(F.col(part).alias("_done")).distinct()
-    except AnalysisException:  # no store yet
-        done = None
-    rest = df if done is None else df.join(done, F.col(part).cast("string") == F.col("_done").cast("string"), "left_anti")
-    rest.repartition(part).write.mode("append").partitionBy(part).option("compression", "zstd").parquet(path)
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(root)
+    names = [x.getPath().getName() for x in files.listStatus(root)]
+    for left in (x for x in names if x.startswith("_writing-")):
+        files.delete(jvm.org.apache.hadoop.fs.Path(root, left), True)
+    plain = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    held = [plain(x.removeprefix(f"{part}=")) for x in names if x.startswith(f"{part}=")]
+    done = spark.createDataFrame([(None if x == "__HIVE_DEFAULT_PARTITION__" else x,) for x in held], "_done string")
+    rest = df.join(done, F.col(part).cast("string").eqNullSafe(F.col("_done")), "left_anti")
+    hidden = jvm.org.apache.hadoop.fs.Path(root, f"_writing-{uuid.uuid4().hex}")
+    rest.repartition(part).write.partitionBy(part).option("compression", "zstd").parquet(hidden.toString())
+    for x in files.listStatus(hidden):
+        if x.getPath().getName().startswith(f"{part}="):
+            files.rename(x.getPath(), jvm.org.apache.hadoop.fs.Path(root, x.getPath().getName()))
+    files.delete(hidden, True)
 
 
 def _cell(c: Column) -> Column:
