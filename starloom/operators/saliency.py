@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.linear import met, tiles
+from starloom.sources.shared import stored
 
 #: Other items that a saliency at any position looks at.
 SAMPLE = 512
@@ -54,23 +55,38 @@ def sampled(items: DataFrame, queries: DataFrame, size: int = SAMPLE, block: int
     """(q, item): for each of the queries (item), the `size` other items with the least draws, equal ones by item.
 
     A bottom-k sample by a keyed hash: the same in every run and however the tables are partitioned. Blocks of queries meet
-    blocks of items, and each leaves its least draws of each query, so the table is never sorted.
+    blocks of items, and each leaves its least draws of each query, so the table is never sorted. Draws are even, so a
+    bound that about `size` of them lie under keeps all but a few of the others out of the shuffle; a query that finds too
+    few under it is asked again without it.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                q, found = (batch.column(i)[k].values.field("item").to_numpy(zero_copy_only=False) for i in (0, 1))
-                found = np.sort(found)
-                drawn = draws(q, found).astype(np.int64)
-                drawn[q[:, None] == found[None, :]] = 1 << 40
-                best = np.argsort(drawn, axis=1, kind="stable")[:, :size]
-                least = np.take_along_axis(drawn, best, 1)
-                kept = least < 1 << 40
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, kept.sum(1))), pa.array(found[best][kept]), pa.array(least[kept])], ["q", "item", "draw"])
-
-    pairs = met(tiles(queries, block)[0], *tiles(items, block)).mapInArrow(run, "q long, item long, draw long")
-    nth = F.row_number().over(Window.partitionBy("q").orderBy("draw", "item"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= size).select("q", "item")
+    n = items.count()
+    bound = int(min(1 << 32, (1 << 32) * (size + 8 * size**0.5 + 8) / max(1, n)))
+
+    def drawn(queries: DataFrame, bound: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    q, found = (batch.column(i)[k].values.field("item").to_numpy(zero_copy_only=False) for i in (0, 1))
+                    found = np.sort(found)
+                    draw = draws(q, found).astype(np.int64)
+                    draw[q[:, None] == found[None, :]] = 1 << 40
+                    best = np.argsort(draw, axis=1, kind="stable")[:, :size]
+                    least = np.take_along_axis(draw, best, 1)
+                    kept = least < bound
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, kept.sum(1))), pa.array(found[best][kept]), pa.array(least[kept])], ["q", "item", "draw"])
+
+        pairs = met(tiles(queries, block)[0], *tiles(items, block)).mapInArrow(run, "q long, item long, draw long")
+        nth = F.row_number().over(Window.partitionBy("q").orderBy("draw", "item"))
+        return pairs.withColumn("nth", nth).where(F.col("nth") <= size).select("q", "item")
+
+    if bound == 1 << 32:
+        return drawn(queries, bound)
+    first = stored(drawn(queries, bound))
+    full = first.groupBy(F.col("q").alias("item")).count().where(F.col("count") >= size).select("item")
+    short = stored(queries.select("item").join(full, "item", "left_anti"))
+    if short.isEmpty():
+        return first
+    return first.join(full.withColumnRenamed("item", "q"), "q", "left_semi").unionByName(drawn(short, 1 << 32))
 
 
 def slot_correlations(values: DataFrame, chosen: list[int], slots: int) -> DataFrame:

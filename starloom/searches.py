@@ -1,18 +1,22 @@
 """The searches for one item, for each of a stated set of queries: every id divisible by 20, all for self cosines.
 
 NAME_set answers for each query q what NAME answers for one item. Distributions are packed as 8 slots of 8 numbers for
-each item, so that a pair of items is one row.
+each item. Searches for the best go by tiles and make no row for a pair of items; those whose result has a row for each pair
+make one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.operators import similarity
-from starloom.queries import _CHOSEN, _r, query
+from starloom.evaluators import _E, _MODE
+from starloom.operators import grams, linear, ranks, similarity
+from starloom.operators.saliency import correlation
+from starloom.queries import _CHOSEN, _FLOOR, _S, _V, _r, query
 from starloom.sources.relations import CODES, MODES, SHARPNESS, mode_of, vectors
 
 STATED = "item % 20 = 0"
@@ -60,26 +64,80 @@ def ranked(scores: DataFrame, n: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") <= n)
 
 
-@query("v16_slot_search_set")
+#: SQL of every stated query's log overlaps with all items at the same place, and of its slots' peaks.
+_LO = f"""{_S}, lo AS (SELECT q.item AS q, g.item, g.mode, g.slot, ln(greatest(sum(g.p * q.p), {_FLOOR})) AS lo FROM s g JOIN s q ON q.item % 20 = 0 AND q.slot = g.slot AND q.code = g.code GROUP BY q.item, g.item, g.mode, g.slot),
+pk AS (SELECT item AS q, slot, ln(max(p)) AS peak FROM s GROUP BY item, slot)"""
+
+
+def _ranked_sql(n: int) -> str:
+    """The query at rank 0 and its n best of rows c (q, item, score)."""
+    return f"""r AS (SELECT q, item, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, item) AS rank FROM c WHERE item <> q)
+SELECT q, item, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= {n} UNION ALL SELECT q, item, round(score, 6), 0 FROM c WHERE item = q"""
+
+
+def chosen_score(chosen: list[int]) -> grams.Scorer:
+    """Scores of a tile: for each mode with chosen slots, the sum of their log overlaps."""
+    by = [[s for s in range(first, first + width) if s in chosen] for first, width in MODES.values()]
+
+    def score(left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+        return [sum(np.log(np.maximum(left[:, s] @ right[:, s].T, similarity.FLOOR)) for s in slots) for slots in by if slots]
+
+    return score
+
+
+def tile_search(rows: DataFrame, wanted: str, score: grams.Scorer, n: int, raw: bool = False) -> DataFrame:
+    """(q, item, score, rank): each wanted query at rank 0 and its n best by the mean of its modes' standardised scores, or their sum with raw.
+
+    A first pass over the tiles sums scores and squares for each query; a second one leaves the n best of each tile. No row is
+    made for a pair of items.
+    """
+    flat = rows.select("item", F.flatten("dist").alias("dist"))
+    queries, width = flat.where(wanted), SLOTS * CODES
+    modes = len(score(np.ones((1, SLOTS, 1)), np.ones((1, SLOTS, 1))))
+    left = queries.select("item", F.col("dist").alias("vec"))
+    if not raw:
+        count = flat.count()
+        both = lambda a, b: [x for m in score(a, b) for x in (m, m * m)]
+        sums = grams.applied(queries, flat.withColumn("x", F.array(*[F.lit(1.0)] * (2 * modes))), both, SLOTS, 1)
+        mean = [F.col("y")[2 * m] / count for m in range(modes)]
+        dev = [F.sqrt(F.greatest(F.col("y")[2 * m + 1] / count - mean[m] * mean[m], F.lit(0.0))) for m in range(modes)]
+        left = queries.join(sums, "item").select("item", F.concat("dist", F.array(*mean), F.array(*dev)).alias("vec"))
+
+    def scored(q: np.ndarray, g: np.ndarray) -> np.ndarray:
+        found = score(q[:, :width].reshape(len(q), SLOTS, CODES), g.reshape(len(g), SLOTS, CODES))
+        if raw:
+            return sum(found)
+        return sum((m - q[:, width + i, None]) / q[:, width + modes + i, None] for i, m in enumerate(found)) / modes
+
+    gallery = flat.select("item", F.col("dist").alias("vec"))
+    own = ranks.pair_scores(left.join(queries, "item").select("item", F.col("vec").alias("a"), F.col("dist").alias("b")), lambda a, b: [scored(a, b)])
+    own = own.select(F.col("item").alias("q"), "item", F.col("own")[0].alias("score"), F.lit(0).alias("rank"))
+    return own.unionByName(linear.gram_top(left, gallery, n, score=scored).select("q", "item", "score", "rank"))
+
+
+@query("v16_slot_search_set", f"WITH {_LO}, t AS (SELECT q, item, mode, sum(lo) AS total FROM lo WHERE slot IN (0, 1, 5) GROUP BY q, item, mode), z AS (SELECT q, item, (total - avg(total) OVER (PARTITION BY q, mode)) / stddev_pop(total) OVER (PARTITION BY q, mode) / 2 AS z FROM t), c AS (SELECT q, item, sum(z) AS score FROM z GROUP BY q, item), {_ranked_sql(10)}")
 def v16_slot_search_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     chosen = [s for _, s in similarity.validated(_CHOSEN, MODES)]
-    z = standardised(totals(overlaps(paired(packed(spark, d), wanted), chosen)), "total", ["q", "mode"])
-    return ranked(z.groupBy("q", "item").agg((F.sum("z") / len(_CHOSEN)).alias("score")), 10).select("q", "item", _r("score"), "rank")
+    return tile_search(packed(spark, d), wanted, chosen_score(chosen), 10).select("q", "item", _r("score"), "rank")
 
 
-@query("v8_mode_totals_set")
+@query("v8_mode_totals_set", f"WITH {_LO} SELECT q, item, mode, round(sum(lo), 6) AS total FROM lo GROUP BY q, item, mode")
 def v8_mode_totals_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     return totals(overlaps(paired(packed(spark, d), wanted))).select("q", "item", "mode", _r("total"))
 
 
-@query("v10_one_mode_search_set")
+@query("v10_one_mode_search_set", f"WITH {_LO}, c AS (SELECT q, item, sum(lo) AS score FROM lo WHERE mode = 'image' GROUP BY q, item), {_ranked_sql(10)}")
 def v10_one_mode_search_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     first, width = MODES["image"]
-    rows = totals(overlaps(paired(packed(spark, d), wanted), list(range(first, first + width))))
-    return ranked(rows.select("q", "item", F.col("total").alias("score")), 10).select("q", "item", _r("score"), "rank")
+    return tile_search(packed(spark, d), wanted, chosen_score(list(range(first, first + width))), 10, raw=True).select("q", "item", _r("score"), "rank")
 
 
-@query("v9_any_position_set")
+@query(
+    "v9_any_position_set",
+    f"""WITH {_S}, o AS (SELECT q.item AS q, g.item, g.mode, q.slot AS q_slot, g.slot, sum(g.p * q.p) AS o FROM s g JOIN s q ON q.item % 20 = 0 AND q.mode = g.mode AND q.code = g.code GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY q, item, q_slot ORDER BY round(o, 12) DESC, slot) AS k FROM o)
+SELECT q, item, mode, q_slot, round(ln(greatest(o, {_FLOOR})), 6) AS lo, slot AS at FROM b WHERE k = 1""",
+)
 def v9_any_position_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     def best(s: int, first: int, width: int) -> Column:
         dots = [(g, similarity.dot(F.col("dist")[g], F.col("q_dist")[s])) for g in range(first, first + width)]
@@ -92,7 +150,11 @@ def v9_any_position_set(spark: SparkSession, d: str, wanted: str = STATED) -> Da
     return rows.select("q", "item", mode_of(F.col("x.q_slot")).alias("mode"), "x.q_slot", lo.alias("lo"), (-F.col("x.b.g")).alias("at"))
 
 
-@query("v13_similarity_set")
+@query(
+    "v13_similarity_set",
+    f"""WITH {_LO}, t AS (SELECT q, item, mode, sum(lo) AS total, sum(lo - peak) / count(*) AS share FROM lo JOIN pk USING (q, slot) GROUP BY q, item, mode), w AS (SELECT q, mode, 1 / stddev_pop(total) AS w FROM t GROUP BY q, mode)
+SELECT q, item, round(exp(sum(share * w) / sum(w)), 6) AS similarity FROM t JOIN w USING (q, mode) GROUP BY q, item""",
+)
 def v13_similarity_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     lo = overlaps(paired(packed(spark, d), wanted))
     rows = lo.groupBy("q", "item", "mode").agg(F.sum("lo").alias("total"), F.avg(F.col("lo") - F.col("peak")).alias("share"))
@@ -100,21 +162,34 @@ def v13_similarity_set(spark: SparkSession, d: str, wanted: str = STATED) -> Dat
     return rows.join(weights, ["q", "mode"]).groupBy("q", "item").agg(F.round(F.exp(F.sum(F.col("share") * F.col("w")) / F.sum("w")), 6).alias("similarity"))
 
 
-@query("v14_agreement_maps_set")
+@query(
+    "v14_agreement_maps_set",
+    f"""WITH {_LO}, t AS (SELECT q, item, sum(lo) AS score FROM lo GROUP BY q, item), b AS (SELECT q, item FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY item <> q, round(score, 9) DESC, item) AS k FROM t) WHERE k <= 9)
+SELECT q, item, mode, slot, round(exp(lo - peak), 6) AS agreement FROM lo JOIN b USING (q, item) JOIN pk USING (q, slot)""",
+)
 def v14_agreement_maps_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
-    lo = overlaps(paired(packed(spark, d), wanted))
-    best = ranked(lo.groupBy("q", "item").agg(F.sum("lo").alias("score")), 8).select("q", "item")
-    return lo.join(best, ["q", "item"], "left_semi").select("q", "item", "mode", "slot", F.round(F.exp(F.col("lo") - F.col("peak")), 6).alias("agreement"))
+    gallery = packed(spark, d)
+    best = tile_search(gallery, wanted, chosen_score(list(range(SLOTS))), 8, raw=True).select("q", "item")
+    pairs = best.join(gallery, "item").join(gallery.select(F.col("item").alias("q"), F.col("dist").alias("q_dist")), "q")
+    return overlaps(pairs).select("q", "item", "mode", "slot", F.round(F.exp(F.col("lo") - F.col("peak")), 6).alias("agreement"))
 
 
-@query("v17_mode_search_set")
+@query(
+    "v17_mode_search_set",
+    f"""WITH {_LO}, t AS (SELECT q, item, mode, sum(lo) AS total FROM lo GROUP BY q, item, mode), z AS (SELECT q, item, mode, (total - avg(total) OVER w) / stddev_pop(total) OVER w / 3 AS c FROM t WINDOW w AS (PARTITION BY q, mode))
+SELECT q, item, mode, round(c, 6) AS contribution, round(sum(c) OVER (PARTITION BY q, item), 6) AS score FROM z""",
+)
 def v17_mode_search_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     z = standardised(totals(overlaps(paired(packed(spark, d), wanted))), "total", ["q", "mode"])
     c = F.col("z") / len(MODES)
     return z.select("q", "item", "mode", F.round(c, 6).alias("contribution"), F.round(F.sum(c).over(Window.partitionBy("q", "item")), 6).alias("score"))
 
 
-@query("v18_self_cosines_set")
+@query(
+    "v18_self_cosines_set",
+    f"""WITH {_S}, n AS (SELECT item, slot, sqrt(sum(p * p)) AS n FROM s GROUP BY item, slot)
+SELECT a.item AS q, a.mode, a.slot, b.slot AS other, round(sum(a.p * b.p) / max(x.n) / max(y.n), 6) AS cosine FROM s a JOIN s b ON a.item = b.item AND a.mode = b.mode AND a.code = b.code JOIN n x ON x.item = a.item AND x.slot = a.slot JOIN n y ON y.item = b.item AND y.slot = b.slot GROUP BY a.item, a.mode, a.slot, b.slot""",
+)
 def v18_self_cosines_set(spark: SparkSession, d: str, wanted: str = "true") -> DataFrame:
     norm = lambda s: F.sqrt(similarity.dot(F.col("dist")[s], F.col("dist")[s]))
     cells = [(m, a, b) for m, (first, width) in MODES.items() for a in range(first, first + width) for b in range(first, first + width)]
@@ -122,25 +197,36 @@ def v18_self_cosines_set(spark: SparkSession, d: str, wanted: str = "true") -> D
     return packed(spark, d).where(wanted).select("item", F.explode(each).alias("x")).select(F.col("item").alias("q"), "x.*")
 
 
-@query("v19_saliency_set")
+@query(
+    "v19_saliency_set",
+    f"""WITH {_LO}, r AS (SELECT q, item, slot, lo, coalesce((lo - avg(lo) OVER w) / nullif(stddev_pop(lo) OVER w, 0), 0) AS z FROM lo WHERE item <> q WINDOW w AS (PARTITION BY q, slot)), i AS (SELECT q, item, avg(z) AS score, avg(lo) AS control FROM r GROUP BY q, item),
+c AS (SELECT q, slot, corr(z, score) AS a, corr(z, control) AS b, corr(score, control) AS c FROM r JOIN i USING (q, item) GROUP BY q, slot)
+SELECT q, slot, round(greatest(-1, least(1, coalesce(CASE WHEN (1 - b * b) * (1 - c * c) > 1e-24 THEN (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) END, 0))), 5) AS rho FROM c""",
+)
 def v19_saliency_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     rows = standardised(overlaps(paired(packed(spark, d), wanted).where("q <> item")), "lo", ["q", "slot"])
     rows = rows.withColumn("z", F.coalesce("z", F.lit(0.0)))
     items = rows.groupBy("q", "item").agg(F.avg("z").alias("score"), F.avg("lo").alias("control"))
-    both = rows.join(items, ["q", "item"]).groupBy("q", "slot").agg(F.corr("z", "score").alias("a"), F.corr("z", "control").alias("b"), F.corr("score", "control").alias("c"))
+    both = rows.join(items, ["q", "item"]).groupBy("q", "slot").agg(*[correlation(F.col(x), F.col(y)).alias(n) for x, y, n in (("z", "score", "a"), ("z", "control", "b"), ("score", "control", "c"))])
     low = F.sqrt((1 - F.col("b") * F.col("b")) * (1 - F.col("c") * F.col("c")))
     rho = F.coalesce(F.when(low > 1e-12, (F.col("a") - F.col("b") * F.col("c")) / low), F.lit(0.0))
     return both.select("q", "slot", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)), 5).alias("rho"))
 
 
-@query("p17_threshold_mask_set")
+@query("p17_threshold_mask_set", f"WITH {_LO}, r AS (SELECT q, slot, (min(lo) + max(lo)) / 2 AS t FROM lo GROUP BY q, slot) SELECT q, item, slot, (lo >= t) <> (slot = 3) AS shown FROM lo JOIN r USING (q, slot)")
 def p17_threshold_mask_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     lo = overlaps(paired(packed(spark, d), wanted))
     middle = lo.groupBy("q", "slot").agg(((F.min("lo") + F.max("lo")) / 2).alias("t"))
     return lo.join(middle, ["q", "slot"]).select("q", "item", "slot", ((F.col("lo") >= F.col("t")) != (F.col("slot") == 3)).alias("shown"))
 
 
-@query("v3_sparse_overlap_set")
+@query(
+    "v3_sparse_overlap_set",
+    f"""WITH {_S}, k AS (SELECT item, slot, code, p, row_number() OVER (PARTITION BY item, slot ORDER BY round(p, 12) DESC, code) AS k FROM s WHERE mode = 'image'),
+w AS (SELECT item AS q, slot, code, CASE WHEN k <= 4 THEN p ELSE sum(CASE WHEN k > 4 THEN p END) OVER (PARTITION BY item, slot) / 4 END AS w FROM k WHERE item % 20 = 0),
+b AS (SELECT item, slot, (1 - sum(p)) / 6 AS b FROM k WHERE k <= 2 GROUP BY item, slot), f AS (SELECT q, slot, sum(w) AS f FROM w GROUP BY q, slot)
+SELECT w.q, k.item, k.slot, round(ln(greatest(sum((p - b) * w) + max(b * f), {_FLOOR})), 6) AS lo FROM k JOIN b ON b.item = k.item AND b.slot = k.slot JOIN w ON w.slot = k.slot AND w.code = k.code JOIN f ON f.q = w.q AND f.slot = k.slot WHERE k <= 2 GROUP BY w.q, k.item, k.slot""",
+)
 def v3_sparse_overlap_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     """Each slot's 2 top codes of the gallery, 4 of a query, and the even rest of the others."""
 
@@ -160,7 +246,11 @@ def v3_sparse_overlap_set(spark: SparkSession, d: str, wanted: str = STATED) ->
     return overlaps(pairs, list(range(width))).select("q", "item", "slot", _r("lo"))
 
 
-@query("v25_against_data_anywhere_set")
+@query(
+    "v25_against_data_anywhere_set",
+    f"""WITH {_S}, x AS (SELECT * FROM s WHERE (item * 8 + slot) % 5 <> 0), k AS (SELECT q.item AS q, g.item, q.slot AS q_slot, g.slot, sum(q.p * g.p) - 0.5 * sum(q.p * q.p) AS score FROM s q JOIN x g ON g.mode = q.mode AND g.code = q.code WHERE q.item % 20 = 0 AND g.item <> q.item GROUP BY q.item, g.item, q.slot, g.slot),
+b AS (SELECT q, item, q_slot, max(score) AS best FROM k GROUP BY q, item, q_slot) SELECT q, item, count(*) AS n_slots, round(sum(best), 6) AS score FROM b GROUP BY q, item""",
+)
 def v25_against_data_anywhere_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     def best(s: int, first: int, width: int) -> Column:
         a = F.col("q_dist")[s]
@@ -171,7 +261,12 @@ def v25_against_data_anywhere_set(spark: SparkSession, d: str, wanted: str = STA
     return rows.select("q", "item", F.size("best").cast("long").alias("n_slots"), F.round(F.aggregate("best", F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
 
 
-@query("v20_direction_search_set")
+@query(
+    "v20_direction_search_set",
+    f"""WITH {_E}, m AS (SELECT i, avg(x) AS m FROM e GROUP BY i), o AS (SELECT item AS q, i, x - m AS d FROM e JOIN m USING (i) WHERE item % 20 = 0), n AS (SELECT q, i, d / sqrt(sum(d * d) OVER (PARTITION BY q)) AS d FROM o),
+c AS (SELECT q, item, {_MODE} AS mode, sum(x * d) AS s, sum((x - m) * d) AS c FROM e JOIN n USING (i) JOIN m USING (i) GROUP BY 1, 2, 3), t AS (SELECT q, item, sum(s) AS score FROM c GROUP BY q, item), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, item) AS k FROM t) WHERE k <= 20)
+SELECT q, item, mode, round(score, 6) AS score, round(c, 6) AS contribution FROM b JOIN c USING (q, item)""",
+)
 def v20_direction_search_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
     v = vectors(spark, d).select("item", "vec")
     means = v.agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(SLOTS * CODES)]).alias("mean"))
@@ -184,10 +279,11 @@ def v20_direction_search_set(spark: SparkSession, d: str, wanted: str = STATED)
     return pairs.select("q", "item", "score", F.explode(each).alias("x")).select("q", "item", "x.mode", _r("score"), F.round("x.contribution", 6).alias("contribution"))
 
 
-@query("v22_cosine_rank_set")
+@query(
+    "v22_cosine_rank_set",
+    f"""WITH {_V}, c AS (SELECT q.item AS q, g.item, list_inner_product(g.vec, q.vec) / sqrt(list_inner_product(g.vec, g.vec)) / sqrt(list_inner_product(q.vec, q.vec)) AS score FROM v g, v q WHERE q.item % 20 = 0 AND g.item <> q.item)
+SELECT q, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, item) AS k FROM c) WHERE k <= 20""",
+)
 def v22_cosine_rank_set(spark: SparkSession, d: str, wanted: str = STATED) -> DataFrame:
-    v = vectors(spark, d).select("item", "vec")
-    q = v.where(wanted).select(F.col("item").alias("q"), F.col("vec").alias("q_vec"))
-    norm = lambda c: F.sqrt(similarity.dot(F.col(c), F.col(c)))
-    score = similarity.dot(F.col("vec"), F.col("q_vec")) / norm("vec") / norm("q_vec")
-    return similarity.against(v, q, score, 20).select("q", "item", _r("score"))
+    v = vectors(spark, d).select("item", similarity.unit(F.col("vec")).alias("vec"))
+    return linear.gram_top(v.where(wanted), v, 20).select("q", "item", _r("score"))

@@ -54,6 +54,17 @@ def test_sample_is_the_same_however_partitioned(spark):
     assert len(saliency.sampled(items, queries, 5000).collect()) == 10 * 999
 
 
+def test_sample_without_enough_draws_under_the_bound(spark, monkeypatch):
+    items = spark.range(3000).withColumnRenamed("id", "item")
+    queries = items.where("item % 1000 = 0")
+    want = sorted(map(tuple, saliency.sampled(items, queries, 4).collect()))
+    real = saliency.draws
+    high = lambda q, i: np.where((q[:, None] == 1000) & (i[None, :] >= 2), real(q, i) | np.uint64(1 << 31), real(q, i))
+    monkeypatch.setattr(saliency, "draws", high)
+    got = sorted(map(tuple, saliency.sampled(items, queries, 4).collect()))
+    assert [x for x in got if x[0] != 1000] == [x for x in want if x[0] != 1000] and len(got) == 12
+
+
 def test_saliency_is_the_partial_correlation(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(80, 8)) - 2
