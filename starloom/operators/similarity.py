@@ -73,12 +73,6 @@ def totals(overlaps: DataFrame) -> DataFrame:
     return overlaps.groupBy("item", "mode").agg(F.sum("lo").alias("total"))
 
 
-def standardised(rows: DataFrame, value: str, by: list[str]) -> Column:
-    """(value - mean) / population deviation within `by`; null where all values are equal."""
-    w = Window.partitionBy(*by)
-    return (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
-
-
 def combined(rows: DataFrame, always: bool = False) -> DataFrame:
     """(item, score): one mode's raw total, or the mean of the standardised totals of several (of one too with always)."""
     n = rows.select("mode").distinct().count()
@@ -90,10 +84,11 @@ def combined(rows: DataFrame, always: bool = False) -> DataFrame:
 
 
 def ranked(scores: DataFrame, query: int, n: int) -> DataFrame:
-    """The query at rank 0, then the n best others: highest score first, then the smallest item."""
-    top = scores.where(F.col("item") != query).orderBy(F.desc(F.round("score", 9)), "item").limit(n)
-    best = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "item")))
-    return scores.where(F.col("item") == query).withColumn("rank", F.lit(0)).unionByName(best)
+    """The query at rank 0, then the n best others: highest score first, then the smallest item. One pass that keeps n + 1 rows."""
+    order = [F.col("item") != query, F.desc(F.round("score", 9)), F.col("item")]
+    best = scores.orderBy(*order).limit(n + 1)
+    there = F.max((F.col("item") == query).cast("int")).over(Window.partitionBy())
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - there).where(F.col("rank") <= n)
 
 
 def neighbours(pairs: DataFrame, k: int, value: str = "score", left: str = "q", right: str = "item") -> DataFrame:
@@ -106,6 +101,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def log_dot(a: Column, b: Column) -> Column:
+    """Log of the floored product of two distributions in arrays."""
+    return F.log(F.greatest(dot(a, b), F.lit(FLOOR)))
+
+
+def mode_scores(pairs: DataFrame, chosen: dict[str, list[int]]) -> DataFrame:
+    """Rows (item, dist, q_dist) with one column for each mode of chosen: its slots' log overlaps, summed. No row is exploded."""
+    return pairs.select("*", *[sum((log_dot(F.col("dist")[s], F.col("q_dist")[s]) for s in slots[1:]), log_dot(F.col("dist")[slots[0]], F.col("q_dist")[slots[0]])).alias(mode) for mode, slots in chosen.items()])
+
+
+def contributions(rows: DataFrame, modes: list[str]) -> DataFrame:
+    """rows with each mode's column standardised over all rows, over the number of modes; null where all are alike.
+
+    Means and deviations are one row, which meets all others.
+    """
+    stats = rows.agg(*[f(m).alias(f"_{n}_{m}") for m in modes for n, f in (("mean", F.avg), ("dev", F.stddev_pop))])
+    z = {m: (F.col(m) - F.col(f"_mean_{m}")) / F.nullif(F.col(f"_dev_{m}"), F.lit(0.0)) / len(modes) for m in modes}
+    return rows.crossJoin(F.broadcast(stats)).select(*[c for c in rows.columns if c not in modes], *[c.alias(m) for m, c in z.items()])
+
+
 def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starloom.operators import linear, maps, saliency, similarity, statistics
-from starloom.sources.relations import CODES, MODES, points, positions, sequences, slots, table, vectors
+from starloom.sources.relations import CODES, MODES, mode_of, packed, points, positions, sequences, slots, table, vectors
 
 SLOTS = sum(width for _, width in MODES.values())
 
@@ -43,6 +43,12 @@ def _same(spark: SparkSession, d: str, item: int = 7) -> DataFrame:
     return similarity.same_place(slots(spark, d), _one(spark, d, item).select("slot", "code", F.col("p").alias("q")))
 
 
+def _beside(spark: SparkSession, d: str, item: int = 7) -> DataFrame:
+    """(item, dist, q_dist): every item beside the one that asks."""
+    gallery = packed(spark, d)
+    return gallery.crossJoin(F.broadcast(gallery.where(F.col("item") == item).select(F.col("dist").alias("q_dist"))))
+
+
 def _r(c: str, n: int = 6) -> F.Column:
     return F.round(F.col(c), n).alias(c)
 
@@ -59,9 +65,12 @@ r AS (SELECT item, score, row_number() OVER (ORDER BY round(score, 9) DESC, item
 SELECT item, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10 UNION ALL SELECT item, round(score, 6), 0 FROM c WHERE item = 7""",
 )
 def v16_slot_search(spark: SparkSession, d: str) -> DataFrame:
-    chosen = [s for _, s in similarity.validated(_CHOSEN, MODES)]
-    lo = _same(spark, d).where(F.col("slot").isin(chosen))
-    return similarity.ranked(similarity.combined(similarity.totals(lo)), 7, 10).select("item", _r("score"), "rank")
+    chosen: dict[str, list[int]] = {}
+    for mode, slot in similarity.validated(_CHOSEN, MODES):
+        chosen.setdefault(mode, []).append(slot)
+    parts = similarity.contributions(similarity.mode_scores(_beside(spark, d), chosen).select("item", *chosen), list(chosen))
+    scores = parts.select("item", sum((F.coalesce(F.col(m), F.lit(0.0)) for m in chosen), F.lit(0.0)).alias("score"))
+    return similarity.ranked(scores, 7, 10).select("item", _r("score"), "rank")
 
 
 @query("v8_mode_totals", f"WITH {_LO} SELECT item, mode, round(sum(lo), 6) AS total FROM lo GROUP BY item, mode")
@@ -111,10 +120,10 @@ b AS (SELECT item FROM t WHERE item <> 7 ORDER BY round(score, 9) DESC, item LIM
 SELECT item, mode, slot, round(exp(lo - peak), 6) AS agreement FROM lo JOIN pk USING (slot) WHERE item IN (SELECT item FROM b) OR item = 7""",
 )
 def v14_agreement_maps(spark: SparkSession, d: str) -> DataFrame:
-    lo = _same(spark, d)
-    best = similarity.ranked(lo.groupBy("item").agg(F.sum("lo").alias("score")), 7, 8).select("item")
-    peaks = _one(spark, d).groupBy("slot").agg(F.log(F.max("p")).alias("peak"))
-    return lo.join(F.broadcast(best), "item", "left_semi").join(F.broadcast(peaks), "slot").select("item", "mode", "slot", F.round(F.exp(F.col("lo") - F.col("peak")), 6).alias("agreement"))
+    scores = similarity.mode_scores(_beside(spark, d), {"score": list(range(SLOTS))})
+    best = similarity.ranked(scores, 7, 8)
+    each = [F.struct(mode_of(F.lit(s)).alias("mode"), F.lit(s).alias("slot"), F.round(F.exp(similarity.log_dot(F.col("dist")[s], F.col("q_dist")[s]) - F.log(F.array_max(F.col("q_dist")[s]))), 6).alias("agreement")) for s in range(SLOTS)]
+    return best.select("item", F.explode(F.array(*each)).alias("x")).select("item", "x.*")
 
 
 @query(
@@ -146,9 +155,11 @@ def v19_saliency(spark: SparkSession, d: str) -> DataFrame:
 SELECT item, mode, round(c, 6) AS contribution, round(sum(c) OVER (PARTITION BY item), 6) AS score FROM z""",
 )
 def v17_mode_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = similarity.totals(_same(spark, d))
-    rows = rows.withColumn("c", similarity.standardised(rows, "total", ["mode"]) / 3)
-    return rows.select("item", "mode", F.round("c", 6).alias("contribution"), F.round(F.sum("c").over(Window.partitionBy("item")), 6).alias("score"))
+    every = {mode: list(range(first, first + width)) for mode, (first, width) in MODES.items()}
+    parts = similarity.contributions(similarity.mode_scores(_beside(spark, d), every).select("item", *every), list(every))
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), F.round(m, 6).alias("contribution")) for m in every])
+    total = F.round(sum((F.coalesce(F.col(m), F.lit(0.0)) for m in every), F.lit(0.0)), 6).alias("score")
+    return parts.select("item", F.explode(each).alias("x"), total).select("item", "x.mode", "x.contribution", "score")
 
 
 @query(

@@ -17,33 +17,21 @@ from starloom.evaluators import _E, _MODE
 from starloom.operators import grams, linear, ranks, similarity
 from starloom.operators.saliency import correlation
 from starloom.queries import _CHOSEN, _FLOOR, _S, _V, _r, query
-from starloom.sources.relations import CODES, MODES, SHARPNESS, mode_of, vectors
+from starloom.sources.relations import CODES, MODES, mode_of, packed, vectors
 
 STATED = "item % 20 = 0"
 SLOTS = sum(width for _, width in MODES.values())
 
 
-def packed(spark: SparkSession, d: str) -> DataFrame:
-    """(item, dist): slots() with one row for each item."""
-    v = vectors(spark, d).select("item", F.transform("vec", lambda x: F.exp(SHARPNESS * x)).alias("e"))
-    parts = v.select("item", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.slice("e", s * CODES + 1, CODES)).alias("parts"))
-    one = lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, y: a + y))
-    return parts.select("item", F.transform("parts", one).alias("dist"))
-
-
 def paired(gallery: DataFrame, wanted: str, other: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """(q, q_dist, item, dist) for each query and each item."""
     q = gallery.where(wanted).select(F.col("item").alias("q"), other(F.col("dist")).alias("q_dist"))
     return q.crossJoin(gallery)
 
 
-def log_dot(a: Column, b: Column) -> Column:
-    return F.log(F.greatest(similarity.dot(a, b), F.lit(similarity.FLOOR)))
-
-
 def overlaps(pairs: DataFrame, chosen: list[int] | None = None) -> DataFrame:
     """(q, item, mode, slot, lo, peak) of the chosen slots, or of all; peak is the log of the query slot's largest share."""
-    each = F.array(*[F.struct(F.lit(s).alias("slot"), log_dot(F.col("dist")[s], F.col("q_dist")[s]).alias("lo"), F.log(F.array_max(F.col("q_dist")[s])).alias("peak")) for s in (range(SLOTS) if chosen is None else chosen)])
+    each = F.array(*[F.struct(F.lit(s).alias("slot"), similarity.log_dot(F.col("dist")[s], F.col("q_dist")[s]).alias("lo"), F.log(F.array_max(F.col("q_dist")[s])).alias("peak")) for s in (range(SLOTS) if chosen is None else chosen)])
     rows = pairs.select("q", "item", F.explode(each).alias("x")).select("q", "item", "x.*")
     return rows.select("q", "item", mode_of(F.col("slot")).alias("mode"), "slot", "lo", "peak")
 
@@ -58,12 +46,6 @@ def standardised(rows: DataFrame, value: str, by: list[str], name: str = "z") ->
     return rows.join(stats, by).withColumn(name, (F.col(value) - F.col("_mean")) / F.col("_dev")).drop("_mean", "_dev")
 
 
-def ranked(scores: DataFrame, n: int) -> DataFrame:
-    """Of each query itself at rank 0, then the n best others: highest score first, then the smallest item."""
-    w = Window.partitionBy("q").orderBy(F.col("q") != F.col("item"), F.desc(F.round("score", 9)), "item")
-    return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") <= n)
-
-
 #: SQL of every stated query's log overlaps with all items at the same place, and of its slots' peaks.
 _LO = f"""{_S}, lo AS (SELECT q.item AS q, g.item, g.mode, g.slot, ln(greatest(sum(g.p * q.p), {_FLOOR})) AS lo FROM s g JOIN s q ON q.item % 20 = 0 AND q.slot = g.slot AND q.code = g.code GROUP BY q.item, g.item, g.mode, g.slot),
 pk AS (SELECT item AS q, slot, ln(max(p)) AS peak FROM s GROUP BY item, slot)"""

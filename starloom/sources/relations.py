@@ -36,6 +36,16 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("item", mode_of(F.col("slot")).alias("mode"), "slot", "code", (F.col("e") / total).alias("p"))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, dist): slots() with one row for each item, an array of codes for each slot; no shuffle."""
+    v = vectors(spark, sf_dir).select("item", F.transform("vec", lambda x: F.exp(SHARPNESS * x)).alias("e"))
+    count = sum(width for _, width in MODES.values())
+    parts = v.select("item", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda s: F.slice("e", s * CODES + 1, CODES)).alias("parts"))
+    # each slot's sum is worked out once, not once for each of its codes
+    summed = parts.withColumn("sums", F.transform("parts", lambda p: F.aggregate(p, F.lit(0.0), lambda a, y: a + y)))
+    return summed.select("item", F.zip_with("parts", "sums", lambda p, t: F.transform(p, lambda x: x / t)).alias("dist"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, x, y, category): a two-dimensional map."""
     return vectors(spark, sf_dir).select("item", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.col("label").alias("category"))
