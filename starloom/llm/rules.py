@@ -18,7 +18,7 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 
 #: What the thresholds are for: values of a document as whole parts in a million, and the least width of a fence. Where
 #: half of a group has the same value its quartiles have no width; a document within the least width is kept even so.
-METRICS = {"mean_word": 1_000_000, "symbols": 100_000, "dup_lines": 250_000, "echoes": 200_000}
+METRICS = {"mean_word": 2_500_000, "symbols": 100_000, "dup_lines": 250_000, "echoes": 200_000}
 #: Fences lie so many quartile widths beyond the quartiles (3 marks far outliers).
 REACH = 3
 #: Groups of fewer documents than this take the thresholds of their language, and those of all where that is small too.
