@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.operators import coefficients, linear, saliency, similarity
+from starloom.operators import coefficients, linear, records, saliency, similarity
 from starloom.queries import _FLOOR, _S, _r, query
 from starloom.searches import SLOTS, STATED, overlaps, packed
 from starloom.sources.relations import CODES, MODES, vectors
+from starloom.sources.shared import stored
 
 #: Directions of the basis, and the least overlap: a tenth of an even distribution's share.
 BASIS_RANK, BASIS_FLOOR = 5, 0.1 / CODES
@@ -148,3 +149,45 @@ def p15_selection_rules(spark: SparkSession, d: str) -> DataFrame:
     items = vectors(spark, d).select("item")
     seen = items.select("item", F.explode(F.array(F.when(F.col("item") % 7 != 0, "image"), F.when(F.col("item") % 5 != 0, "spectrum"))).alias("mode")).where("mode is not null")
     return similarity.missing(items, seen, CHOSEN).select("item", F.array_join("missing", ",").alias("missing"))
+
+
+# ------------------------------------------------------------------ records
+
+LAYOUT = records.Layout(MODES, CODES, 4, EVEN, BASIS, BASIS_FLOOR)
+#: Image slots of records in SQL: four codes and an even rest; spectrum slots decoded; table slots as they are.
+_FORMS = f"""{_CODED}, i AS (SELECT item, slot, code, p, row_number() OVER (PARTITION BY item, slot ORDER BY round(p, 12) DESC, code) AS k FROM s WHERE mode = 'image'),
+f AS (SELECT item, slot, code, CASE WHEN k <= 4 THEN p ELSE (1 - sum(CASE WHEN k <= 4 THEN p END) OVER (PARTITION BY item, slot)) / 4 END AS p, {_FLOOR} AS least FROM i
+UNION ALL SELECT item, slot, j, 0.125 + sum(back * v), {BASIS_FLOOR!r} FROM z JOIN b USING (k) GROUP BY item, slot, j UNION ALL SELECT item, slot, code, p, {_FLOOR} FROM s WHERE mode = 'table')"""
+
+
+@query(
+    "b6_records",
+    f"""WITH {_S}, i AS (SELECT item, slot, code, p, row_number() OVER (PARTITION BY item, slot ORDER BY round(p, 12) DESC, code) AS k FROM s WHERE mode = 'image')
+SELECT item, slot::INT AS slot, string_agg(code::VARCHAR, ',' ORDER BY k) FILTER (k <= 4) AS codes, round(1 - sum(p) FILTER (k <= 4), 6) AS rest FROM i GROUP BY item, slot""",
+)
+def b6_records(spark: SparkSession, d: str) -> DataFrame:
+    """The image part of each item's record: the codes that it keeps and the share of the others."""
+    rows = records.recorded(packed(spark, d), LAYOUT)
+    each = rows.select("item", F.posexplode(F.arrays_zip("image_codes", "image_rest")).alias("slot", "x"))
+    return each.select("item", "slot", F.array_join("x.image_codes", ",").alias("codes"), F.round("x.image_rest", 6).alias("rest"))
+
+
+@query(
+    "b22_record_scores",
+    f"""WITH {_FORMS}, o AS (SELECT a.item AS q, g.item, slot, ln(greatest(sum(a.p * g.p), max(g.least))) AS lo FROM f a JOIN f g USING (slot, code) WHERE a.item % 20 = 0 AND g.item <> a.item GROUP BY a.item, g.item, slot),
+t AS (SELECT q, item, sum(lo) AS total FROM o GROUP BY q, item), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(total, 9) DESC, item) AS rank FROM t)
+SELECT q, item, round(total, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""",
+)
+def b22_record_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best items of each stated query from records alone, through the forms that tiles multiply."""
+    rows = stored(records.packed(records.recorded(packed(spark, d), LAYOUT)))
+    return linear.gram_top(rows.where(STATED), rows, 10, score=records.record_scores(LAYOUT, list(MODES))).select("q", "item", _r("score"), "rank")
+
+
+@query("b13_properties")
+def b13_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Three properties of each item as measured, where they are, and as predicted, with a width."""
+    v, x = vectors(spark, d), F.col("vec")
+    rows = v.select("item", F.slice("vec", 1, 48).alias("vec"), F.pmod(F.xxhash64("item"), F.lit(5)).alias("fold"), *[F.when(F.col("item") % k != 0, y).alias(n) for n, k, y in (("mass", 3, x[0] + x[50]), ("rate", 4, x[20] - x[40] / 2), ("age", 1, x[3]))])
+    found = records.properties(rows, "vec", 48, {n: F.col(n) for n in ("mass", "rate", "age")})
+    return found.select("item", "property", _r("measured", 4), _r("predicted", 4), _r("width", 4))
