@@ -45,6 +45,14 @@ def written(df: DataFrame, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a `written` table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bits_for(rows: int, each: int = 256) -> int:
     """A power of two, about `each` bits for a row, within the fixed bounds."""
     return int(min(MAX_BITS, max(MIN_BITS, 1 << max(0, rows * each - 1).bit_length())))
