@@ -92,14 +92,23 @@ def gram(rows: DataFrame, modes: dict[str, tuple[int, int]], block: int = 1024)
 
 
 def gram_means(rows: DataFrame, modes: dict[str, tuple[int, int]], block: int = 1024) -> DataFrame:
-    """(item, mode, same, forward, backward): the mean of each row of the matrices, summed up within the tiles."""
-    schema = "item long, mode string, n long, same double, forward double, backward double"
+    """(item, mode, same, forward, backward): the mean of each row of the matrices, summed up within the tiles.
+
+    A half of a tile leaves one row for each mode, with the sums of its block of items, which is known by its least item.
+    """
+    schema = "first long, mode string, n long, items array<long>, sums array<double>"
 
     def made(mode: str, ours: np.ndarray, theirs: np.ndarray, *three: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(ours), pa.array([mode] * len(ours)), pa.array(np.full(len(ours), len(theirs))), *(pa.array(m.sum(1)) for m in three)], [x.split()[0] for x in schema.split(", ")])
+        sums = np.concatenate([m.sum(1) for m in three])
+        yield pa.RecordBatch.from_arrays([pa.array([int(ours[0])]), pa.array([mode]), pa.array([len(theirs)]), pa.array([ours]), pa.array([sums])], [x.split()[0] for x in schema.split(", ")])
+
+    def summed(table: pa.Table) -> pa.Table:
+        items, n = table.column("items")[0].values, sum(table.column("n").to_pylist())
+        total = np.sort(np.stack([v.values.to_numpy() for v in table.column("sums")]), axis=0).sum(0).reshape(3, -1) / n
+        return pa.table({"item": items, "mode": pa.array([table.column("mode")[0].as_py()] * len(items)), "same": total[0], "forward": total[1], "backward": total[2]})
 
-    sums = symmetric(rows, modes, made, schema, block).groupBy("item", "mode")
-    return sums.agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in ("same", "forward", "backward")])
+    sums = symmetric(rows, modes, made, schema, block).groupBy("first", "mode")
+    return sums.applyInArrow(summed, "item long, mode string, same double, forward double, backward double")
 
 
 def applied(left: DataFrame, right: DataFrame, score: Scorer, slots: int, width: int, block: int = 2048, turned: bool = False) -> DataFrame:
