@@ -38,14 +38,14 @@ LETTER = r"[\p{L}\p{M}]"
 #: A word of a name: inner capitals, apostrophes (an "'s" behind it isn't its) and parts joined by hyphens.
 WORD = rf"(?:\p{{Lu}}['’]{LETTER}|\p{{Lu}}){LETTER}+(?:['’](?:\p{{Lu}}|{LETTER}{{3}}){LETTER}*|-{LETTER}{{2,}})*"
 PART = rf"(?:\p{{Lu}}['’])?{LETTER}{LETTER}+(?:['’](?:\p{{Lu}}|{LETTER}{{3}}){LETTER}*)?"
-#: A person is named by titles or a cue and one to four words, with initials and small words between. Once named, these words
+#: A person is named by titles or a cue and one to six words, with initials and small words between. Once named, these words
 #: are the person's throughout the document.
 LED = rf"(?<!{LETTER})(?:(?:(?:{TITLE})(?:\.\s{{0,2}}|[\s\xA0]{{1,2}})){{1,3}}|(?:{CUES})\s{{1,2}})"
 FREE = rf"(?!(?:{TITLE})(?!{LETTER}))"
 SMALL = rf"(?:(?:{'|'.join(PARTICLES)})[ \xA0]){{0,3}}(?:(?:al|el)-)?"
 INITIALS = r"(?:\p{Lu}\.[ \xA0]?){0,3}"
 NAMED = rf"{SMALL}{INITIALS}{SMALL}{FREE}{WORD}"
-PERSON = rf"{LED}{NAMED}(?:[ \xA0]{NAMED}){{0,3}}"
+PERSON = rf"{LED}{NAMED}(?:[ \xA0]{NAMED}){{0,5}}"
 #: What a text must hold to be looked at more closely. Every match of PATTERNS and PERSON holds one of these: an email "@", a key
 #: AKIA, a hex secret 16 hex digits in a row, an account two capitals and two digits, an address digit-dot-digit, a card 13
 #: digits with single separators, a phone and a security number three digits in a row, a name its title or cue.
