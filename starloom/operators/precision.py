@@ -17,32 +17,39 @@ RANGES, PLACES = 256, 9
 SIDES = {"high": "low", "low": "high"}
 
 
+def in_ranges(values: DataFrame, by: str, at: str, counted: list[str]) -> DataFrame:
+    """values (by, at, counts) with upto_COUNT and all_COUNT: each count summed over what is at least as high, and over all of `by`.
+
+    values is a written table with one row for each distinct `at`. They are cut into ranges, the ranges' counts are added up,
+    and only a range's own values are put in order. Bounds are written before they are used, as a rerun of the sketch might
+    give others.
+    """
+    shares = [i / RANGES for i in range(1, RANGES)]
+    bounds = stored(values.groupBy(F.col(by).alias("_by")).agg(F.array_distinct(F.percentile_approx(at, shares, 10_000)).alias("_bounds")))
+    ranged = values.join(bounds, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b > F.col(at))), F.lit(0))).drop("_by", "_bounds")
+    sums = ranged.groupBy(by, "_range").agg(*[F.sum(c).alias(c) for c in counted])
+    w = Window.partitionBy(by).orderBy("_range")  # at most RANGES rows
+    before = [(F.sum(c).over(w) - F.col(c)).alias(f"_before_{c}") for c in counted]
+    total = [F.sum(c).over(Window.partitionBy(by)).alias(f"all_{c}") for c in counted]
+    sums = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), *before, *total)
+    placed = ranged.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    inside = Window.partitionBy(by, "_range").orderBy(F.desc(at))
+    placed = placed.withColumns({f"upto_{c}": F.col(f"_before_{c}") + F.sum(c).over(inside) for c in counted})
+    return placed.drop("_by", "_r", "_range", *[f"_before_{c}" for c in counted])
+
+
 def average_precision(rows: DataFrame, by: str, score: str, sides: list[str]) -> DataFrame:
     """(by, one number for each side) of rows (by, score, sides as booleans): the mean precision over a side's rows, highest scores first.
 
-    Rows of equal score are one place, so their order never matters. No score is sorted whole: its distinct values are cut into
-    ranges, the ranges' counts are added up, and only a range's own values are put in order. Bounds are written before they
-    are used, as a rerun of the sketch might give others. Rows without score (null, NaN) are left out, null sides are false; a
-    side without rows has null.
+    Rows of equal score are one place, so their order never matters, and no score is sorted whole. Rows without score (null,
+    NaN) are left out, null sides are false; a side without rows has null.
     """
     value = F.col(score).cast("double")
     hit = lambda side: F.sum(F.when(F.col(side), 1).otherwise(0)).alias(side)
     known = rows.where(value.isNotNull() & ~F.isnan(value)).withColumn("_at", value + 0.0)
     values = stored(known.groupBy(by, "_at").agg(F.count("*").alias("_n"), *[hit(s) for s in sides]))
-    shares = [i / RANGES for i in range(1, RANGES)]
-    bounds = stored(values.groupBy(F.col(by).alias("_by")).agg(F.array_distinct(F.percentile_approx("_at", shares, 10_000)).alias("_bounds")))
-    ranged = values.join(bounds, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_range", F.size(F.filter("_bounds", lambda b: b > F.col("_at")))).drop("_by", "_bounds")
-
-    counted = ["_n", *sides]
-    sums = ranged.groupBy(by, "_range").agg(*[F.sum(c).alias(c) for c in counted])
-    w = Window.partitionBy(by).orderBy("_range")  # at most RANGES rows
-    before = [(F.sum(c).over(w) - F.col(c)).alias(f"_before{c}") for c in counted]
-    total = [F.sum(c).over(Window.partitionBy(by)).alias(f"_all{c}") for c in sides]
-    sums = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), *before, *total)
-    inside = Window.partitionBy(by, "_range").orderBy(F.desc("_at"))
-    upto = lambda c: F.col(f"_before{c}") + F.sum(c).over(inside)
-    placed = ranged.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
-    parts = placed.select(by, *[(F.col(s) / F.col(f"_all{s}") * upto(s) / upto("_n")).alias(s) for s in sides])
+    placed = in_ranges(values, by, "_at", ["_n", *sides])
+    parts = placed.select(by, *[(F.col(s) / F.when(F.col(f"all_{s}") > 0, F.col(f"all_{s}")) * F.col(f"upto_{s}") / F.col("upto__n")).alias(s) for s in sides])
     return parts.groupBy(by).agg(*[F.sum(s).alias(s) for s in sides])
 
 

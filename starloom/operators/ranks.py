@@ -1,4 +1,4 @@
-"""Ranks of an item's own entry by counting what beats it: no gallery is ever ranked."""
+"""Ranks of an item's own entry by counting what beats it, and agreement of two rankings: no gallery is ever ranked in one task."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.linear import met, tiles
+from starloom.operators.precision import in_ranges
+from starloom.sources.shared import stored
 
 #: Places to which scores are compared.
 PLACES = 9
@@ -50,3 +52,45 @@ def pair_scores(pairs: DataFrame, score: Callable[[np.ndarray, np.ndarray], list
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["item", "own"])
 
     return pairs.select("item", "a", "b").mapInArrow(run, "item long, own array<double>")
+
+
+def both_scores(queries: DataFrame, gallery: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 2048) -> DataFrame:
+    """(q, item, first, second) for each of a stated set of queries and all items, self left out; rows are (item, one, two).
+
+    first is the score of the vectors `one`, second that of `two`, both to PLACES places. Each pair of tiles is one matrix
+    product of each kind; the result has a row for each pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ours, theirs = (batch.column(c)[k].values for c in (0, 1))
+                ids = [x.field("item").to_numpy(zero_copy_only=False) for x in (ours, theirs)]
+                other = ids[0][:, None] != ids[1][None, :]
+                found = []
+                for name in ("one", "two"):
+                    a, b = (x.field(name).flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in (ours, theirs))
+                    found.append(np.round(score(a, b), PLACES)[other])
+                q, item = np.broadcast_arrays(ids[0][:, None], ids[1][None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q[other], item[other], *found)], ["q", "item", "first", "second"])
+
+    pairs = met(tiles(queries, block, "one", "two")[0], *tiles(gallery, block, "one", "two"))
+    return pairs.mapInArrow(run, "q long, item long, first double, second double")
+
+
+def spearman(pairs: DataFrame, by: str, first: str, second: str) -> DataFrame:
+    """(by, rho): the correlation of ranks of two numbers, ties at their mean rank; null where a side has one value.
+
+    pairs is a written table of finite numbers. Ranks are those of distinct values, made by ranges, so a group is never
+    sorted whole; they come back to the rows by joins on group and value.
+    """
+    ranked = pairs
+    for name in (first, second):
+        values = stored(pairs.groupBy(by, F.col(name).alias("_v")).agg(F.count("*").alias("_n")))
+        # centred on the mean rank, so that sums of squares keep their digits
+        place = F.col("upto__n") - (F.col("_n") - 1) / 2 - (F.col("all__n") + 1) / 2
+        places = in_ranges(values, by, "_v", ["_n"]).select(F.col(by).alias("_by"), "_v", place.alias(f"_{name}"))
+        ranked = ranked.join(places, F.col(by).eqNullSafe(F.col("_by")) & (F.col(name) == F.col("_v"))).drop("_by", "_v")
+    a, b = F.col(f"_{first}"), F.col(f"_{second}")
+    sums = ranked.groupBy(by).agg(F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"))
+    return sums.select(by, F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))

@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.operators import precision
+from starloom.factored import SCORE, flat
+from starloom.operators import precision, ranks, similarity
 from starloom.operators.precision import SIDES, Phrasings
-from starloom.queries import _V, query
-from starloom.sources.relations import vectors
+from starloom.queries import _FLOOR, _S, _V, query
+from starloom.searches import SLOTS, STATED
+from starloom.sources.relations import CODES, vectors
+from starloom.sources.shared import stored
 
 WIDTH, TOP = 64, 10
 
@@ -53,3 +56,56 @@ def q20_phrasings(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     rows = v.select("item", "vec", F.when(F.col("label") % 5 != 0, F.col("vec")[WIDTH - 1]).alias("value"))
     return precision.phrase_rows(rows, "vec", "value", phrasings(), TOP)
+
+
+# ------------------------------------------------------------------ compressed scores
+
+#: Codes of a slot whose probability is kept; the others share theirs evenly.
+KEPT = 3
+
+
+def compressed(rows: DataFrame) -> DataFrame:
+    """(item, one, two) of rows (item, dist): distributions as they are, and with the KEPT top codes over an even rest; ties by code."""
+    def slot(s: int):  # noqa: ANN202
+        part = F.slice("dist", s * CODES + 1, CODES)
+        coded = F.transform(part, lambda p, i: F.struct((-F.round(p, 12)).alias("less"), i.alias("code")))
+        top = F.transform(F.slice(F.array_sort(coded), 1, KEPT), lambda x: x["code"])
+        rest = F.aggregate(F.filter(part, lambda p, i: ~F.array_contains(top, i)), F.lit(0.0), lambda a, p: a + p) / (CODES - KEPT)
+        return F.transform(part, lambda p, i: F.when(F.array_contains(top, i), p).otherwise(rest))
+
+    return rows.select("item", F.col("dist").alias("one"), F.concat(*[slot(s) for s in range(SLOTS)]).alias("two"))
+
+
+def _total(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(SCORE(a.reshape(len(a), SLOTS, CODES), b.reshape(len(b), SLOTS, CODES)))
+
+
+_SHORT = f"""WITH {_S}, o AS (SELECT *, row_number() OVER (PARTITION BY item, slot ORDER BY round(p, 12) DESC, code) AS k FROM s),
+h AS (SELECT item, slot, code, p, CASE WHEN k <= {KEPT} THEN p ELSE sum(p) FILTER (k > {KEPT}) OVER (PARTITION BY item, slot) / {CODES - KEPT} END AS c FROM o),
+t AS (SELECT q, item, round(sum(f), 9) AS f, round(sum(s), 9) AS s FROM (SELECT q.item AS q, g.item, ln(greatest(sum(q.p * g.p), {_FLOOR})) AS f, ln(greatest(sum(q.c * g.c), {_FLOOR})) AS s FROM h q JOIN h g USING (slot, code) WHERE q.item % 20 = 0 GROUP BY q.item, g.item, slot) GROUP BY q, item),
+w AS (SELECT *, rank() OVER (PARTITION BY q ORDER BY f) + (count(*) OVER (PARTITION BY q, f) - 1) / 2.0 AS rf, rank() OVER (PARTITION BY q ORDER BY s) + (count(*) OVER (PARTITION BY q, s) - 1) / 2.0 AS rs, row_number() OVER (PARTITION BY q ORDER BY f DESC, item) AS nf, row_number() OVER (PARTITION BY q ORDER BY s DESC, item) AS ns FROM t WHERE q <> item),
+r AS (SELECT q, corr(rf, rs) AS rho, sum((nf <= {TOP} AND ns <= {TOP})::INT) / {TOP}.0 AS shared, max(f) AS bf, max(s) AS bs FROM w GROUP BY q),
+z AS (SELECT r.q, round(rho, 6) AS spearman, shared::DOUBLE AS shared, t.s > bs AS identity, t.f > bf AS identity_exact FROM r JOIN t ON t.q = r.q AND t.item = r.q)"""
+
+
+@query("q6_compression", f"{_SHORT} SELECT * FROM z")
+def q6_compression(spark: SparkSession, d: str) -> DataFrame:
+    """For each stated query: how its ranking by compressed scores agrees with the exact one, and whether its own data beats all others."""
+    rows = stored(compressed(flat(spark, d)))
+    wanted = rows.where(STATED)
+    pairs = stored(ranks.both_scores(wanted, rows, _total))
+    best = lambda name: similarity.neighbours(pairs, TOP, name).select("q", "item")
+    shared = best("first").join(best("second"), ["q", "item"]).groupBy("q").agg((F.count("*") / TOP).alias("shared"))
+    beaten = pairs.groupBy("q").agg(F.max("first").alias("most"), F.max("second").alias("most_short"))
+    own = lambda c: F.round(sum(F.log(F.greatest(similarity.dot(F.slice(c, s * CODES + 1, CODES), F.slice(c, s * CODES + 1, CODES)), F.lit(float(_FLOOR)))) for s in range(SLOTS)), ranks.PLACES)
+    selves = wanted.select(F.col("item").alias("q"), own("one").alias("own"), own("two").alias("own_short"))
+    found = ranks.spearman(pairs, "q", "first", "second").join(beaten, "q").join(selves, "q").join(shared, "q", "left")
+    return found.select("q", F.round("rho", 6).alias("spearman"), F.coalesce("shared", F.lit(0.0)).alias("shared"), (F.col("own_short") > F.col("most_short")).alias("identity"), (F.col("own") > F.col("most")).alias("identity_exact"))
+
+
+@query("q6_compression_summary", f"{_SHORT} SELECT round(quantile_cont(spearman, 0.5), 6) AS middle, round(quantile_cont(spearman, 0.05), 6) AS p5, quantile_cont(shared, 0.5)::DOUBLE AS shared, round(avg(identity::INT), 6) AS identity, round(avg(identity_exact::INT), 6) AS identity_exact FROM z")
+def q6_compression_summary(spark: SparkSession, d: str) -> DataFrame:
+    """q6_compression in one row: median and fifth percentile of the correlations, median share of the top, shares identified."""
+    found = stored(q6_compression(spark, d))
+    kept = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
+    return found.agg(F.round(F.percentile("spearman", 0.5), 6).alias("middle"), F.round(F.percentile("spearman", 0.05), 6).alias("p5"), F.percentile("shared", 0.5).alias("shared"), kept("identity"), kept("identity_exact"))
