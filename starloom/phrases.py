@@ -1,4 +1,4 @@
-"""Evaluators of phrases and of compressed scores, and their SQL."""
+"""Evaluators of phrases and of compressed scores, samplers of queries, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.factored import SCORE, flat
-from starloom.operators import precision, ranks, similarity
+from starloom.operators import precision, ranks, samplers, similarity
 from starloom.operators.precision import SIDES, Phrasings
 from starloom.queries import _FLOOR, _S, _V, query
 from starloom.searches import SLOTS, STATED
-from starloom.sources.relations import CODES, vectors
+from starloom.sources.relations import CODES, sequences, vectors
 from starloom.sources.shared import stored
 
 WIDTH, TOP = 64, 10
@@ -109,3 +109,39 @@ def q6_compression_summary(spark: SparkSession, d: str) -> DataFrame:
     found = stored(q6_compression(spark, d))
     kept = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
     return found.agg(F.round(F.percentile("spearman", 0.5), 6).alias("middle"), F.round(F.percentile("spearman", 0.05), 6).alias("p5"), F.percentile("shared", 0.5).alias("shared"), kept("identity"), kept("identity_exact"))
+
+
+# ------------------------------------------------------------------ samplers of queries
+
+#: Cells of an image's grid and how many are drawn; tokens of a spectrum and how many follow each other; observed samples; values.
+CELLS, TOKENS, NEAR, FEW = (144, 4), (273, 16), 3, 2
+
+
+def _drawn(values: str, count: int, seed: int) -> str:
+    return f"list_sort(list_transform(list_sort(list_transform(list_distinct({values}), lambda v: {{'word': md5('{seed}:' || series || ':' || v), 'value': v}}))[1:{count}], lambda x: x.value))"
+
+
+def _window(values: str, width: int, seed: int) -> str:
+    start = f"floor(('0x' || md5('{seed}:' || series)[1:8])::BIGINT / 4294967296.0 * (greatest(len({values}) - {width}, 0) + 1))::INT"
+    return f"list_sort({values})[{start} + 1:{start} + {width}]"
+
+
+@query(
+    "q24_query_samples",
+    f"""WITH r AS (SELECT l_orderkey AS series, coalesce(list(DISTINCT l_linenumber) FILTER (l_returnflag <> 'R'), []) AS good, coalesce(list(DISTINCT l_linenumber), []) AS seen FROM lineitem GROUP BY l_orderkey),
+k AS (SELECT series, 'cells' AS kind, {_drawn(f'range({CELLS[0]})', CELLS[1], 1)} AS picked FROM r UNION ALL SELECT series, 'tokens', {_window(f'range({TOKENS[0]})', TOKENS[1], 2)} FROM r UNION ALL SELECT series, 'observed', {_window('good', NEAR, 3)} FROM r WHERE len(good) > 0 UNION ALL SELECT series, 'values', {_drawn('seen', FEW, 4)} FROM r WHERE len(good) > 0)
+SELECT series, kind, array_to_string(picked, ',') AS picked FROM k""",
+)
+def q24_query_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Slots to ask with, for each series: random cells, tokens in a row, observed samples in a row and catalogue values (where there is a good sample)."""
+    at, series = F.col("at"), F.col("series")
+    held = sequences(spark, d).groupBy("series").agg(F.collect_set(F.when(~F.col("bad"), at)).alias("good"), F.collect_set(at).alias("seen"))
+    there = samplers.observed(F.col("good"))
+    kinds = {
+        "cells": samplers.cells(*CELLS, 1, series),
+        "tokens": samplers.window(F.sequence(F.lit(0), F.lit(TOKENS[0] - 1)), TOKENS[1], 2, series),
+        "observed": F.when(there, samplers.window(F.col("good"), NEAR, 3, series)),
+        "values": F.when(there, samplers.some(F.col("seen"), FEW, 4, series)),
+    }
+    made = held.select("series", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("array<long>").alias("picked")) for k, c in kinds.items()])).alias("x"))
+    return made.where("x.picked IS NOT NULL").select("series", "x.kind", F.array_join("x.picked", ",").alias("picked"))
