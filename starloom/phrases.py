@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.factored import SCORE, flat
-from starloom.operators import precision, ranks, samplers, similarity
+from starloom.operators import bias, precision, ranks, samplers, similarity
 from starloom.operators.precision import SIDES, Phrasings
+from starloom.probes import hidden
 from starloom.queries import _FLOOR, _S, _V, query
 from starloom.searches import SLOTS, STATED
 from starloom.sources.relations import CODES, sequences, vectors
@@ -145,3 +146,31 @@ def q24_query_samples(spark: SparkSession, d: str) -> DataFrame:
     }
     made = held.select("series", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("array<long>").alias("picked")) for k, c in kinds.items()])).alias("x"))
     return made.where("x.picked IS NOT NULL").select("series", "x.kind", F.array_join("x.picked", ",").alias("picked"))
+
+
+# ------------------------------------------------------------------ what a search rewards
+
+#: Flips, best rows of each, reach of near, others that may beat an own row.
+FLIPS, POOL, REACH, MOST = 4, 20, 0.2, 10
+
+_SHOWN = "(('0x' || md5(f || ':' || item)[1:8])::BIGINT / 4294967296.0 < 0.5)"
+
+
+@query(
+    "q8_search_bias",
+    f"""WITH {_S}, h AS (SELECT item, slot, code, p, CASE WHEN mode = 'spectrum' THEN avg(p) OVER (PARTITION BY slot, code) ELSE p END AS u FROM s),
+t AS (SELECT q, item, round(sum(a), 9) AS seen, round(sum(b), 9) AS unseen FROM (SELECT q.item AS q, g.item, ln(greatest(sum(q.p * g.p), {_FLOOR})) AS a, ln(greatest(sum(q.p * g.u), {_FLOOR})) AS b FROM h q JOIN h g USING (slot, code) WHERE q.item % 20 = 0 GROUP BY q.item, g.item, slot) GROUP BY q, item),
+o AS (SELECT q, unseen AS own FROM t WHERE q = item), i AS (SELECT t.q, count(*) FILTER (t.item <> t.q AND seen > own) < {MOST} AS identity FROM t JOIN o USING (q) GROUP BY t.q),
+m AS (SELECT t.q, t.item, f, {_SHOWN} AS shown, CASE WHEN {_SHOWN} THEN seen ELSE unseen END AS score, abs(b.label / 10.0::DOUBLE - a.label / 10.0::DOUBLE) / (1 + a.label / 10.0::DOUBLE) < {REACH}::DOUBLE AS near FROM (SELECT * FROM t, range({FLIPS}) r(f)) t JOIN v a ON a.item = t.q JOIN v b ON b.item = t.item WHERE t.q <> t.item),
+k AS (SELECT *, row_number() OVER (PARTITION BY q, f ORDER BY score DESC, item) AS place FROM m),
+w AS (SELECT q, f, avg(shown::INT) FILTER (place <= {POOL} AND NOT near) - avg(shown::INT) FILTER (NOT near) AS availability, avg(shown::INT) FILTER (place <= {POOL} AND near) - avg(shown::INT) FILTER (near) AS evidence FROM k GROUP BY q, f)
+SELECT w.q, round(avg(availability), 6) AS availability, round(avg(evidence), 6) AS evidence, any_value(identity) AS identity FROM w JOIN i USING (q) GROUP BY w.q""".replace("(f || ':' || item)", "(f || ':' || t.item)"),
+)
+def q8_search_bias(spark: SparkSession, d: str) -> DataFrame:
+    """For each stated query, how much its page favours rows for showing a spectrum at all and for what it says, and whether it finds itself without."""
+    z = vectors(spark, d).select("item", (F.col("label") / 10.0).alias("z"))
+    rows = flat(spark, d).withColumnRenamed("dist", "vec")
+    shown = F.array(*[samplers.uniform(f, F.col("item")) < 0.5 for f in range(FLIPS)])
+    gallery = rows.withColumnRenamed("vec", "seen").join(hidden(rows, "spectrum").withColumnRenamed("vec", "unseen"), "item").join(z, "item").withColumn("shown", shown)
+    found = bias.bias(rows.where(STATED).join(z, "item"), gallery, _total, FLIPS, POOL, REACH, MOST)
+    return found.select("q", F.round("availability", 6).alias("availability"), F.round("evidence", 6).alias("evidence"), "identity")
