@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.linear import met, tiles
+from starloom.operators.linear import BLOCK, TILE, met, numbers
 from starloom.operators.ranks import PLACES, pair_scores
 
 SCHEMA = "q long, flip int, item long, score double, shown boolean, near boolean, near_n long, near_shown long, far_n long, far_shown long, beaten long"
 
 
-def bias(queries: DataFrame, gallery: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], flips: int, pool: int, reach: float, top: int, block: int = 2048) -> DataFrame:
+def bias(queries: DataFrame, gallery: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], flips: int, pool: int, reach: float, top: int, block: int = BLOCK) -> DataFrame:
     """(q, availability, evidence, identity) of queries (item, vec, z) and a gallery (item, seen, unseen, z, shown); self left out.
 
     Each flip shows the gallery's rows with their own data (seen) where shown[flip] is true and with what is guessed without
@@ -26,38 +26,42 @@ def bias(queries: DataFrame, gallery: DataFrame, score: Callable[[np.ndarray, np
     smaller item. A row without z is near to nothing.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ours, theirs = (batch.column(c)[k].values for c in (0, 1))
-                number = lambda x, name: x.field(name).to_numpy(zero_copy_only=False)
-                matrix = lambda x, name: x.field(name).flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-                qi, gi, qz, gz = number(ours, "item"), number(theirs, "item"), number(ours, "z").astype(float), number(theirs, "z").astype(float)
-                order = np.argsort(gi, kind="stable")
-                gi, gz, shown = gi[order], gz[order], matrix(theirs, "shown")[order].astype(bool)
-                seen, unseen = (np.round(score(matrix(ours, "vec"), matrix(theirs, c)[order]), PLACES) for c in ("seen", "unseen"))
-                other = qi[:, None] != gi[None, :]
-                near = (np.abs(gz[None, :] - qz[:, None]) / (1 + qz[:, None]) < reach) & other
-                beaten = ((seen > np.round(number(ours, "own"), PLACES)[:, None]) & other).sum(1)
-                for f in range(flips):
-                    of = shown[:, f]
-                    mixed = np.where(other, np.where(of[None, :], seen, unseen), -np.inf)
-                    best = np.argsort(-mixed, axis=1, kind="stable")[:, :pool]
-                    for i, picked in enumerate(best):
-                        picked, far = picked[other[i, picked]], other[i] & ~near[i]
-                        n = len(picked)
-                        rows = {"q": np.full(n + 1, qi[i]), "flip": np.full(n + 1, f, np.int32)}
-                        rows |= {name: pa.array([*values, None], kind) for name, values, kind in (("item", gi[picked], pa.int64()), ("score", mixed[i, picked], pa.float64()), ("shown", of[picked], pa.bool_()), ("near", near[i, picked], pa.bool_()))}
-                        counts = {"near_n": near[i].sum(), "near_shown": (near[i] & of).sum(), "far_n": far.sum(), "far_shown": (far & of).sum(), "beaten": beaten[i] if f == 0 else 0}
-                        rows |= {name: pa.array([0] * n + [int(c)], pa.int64()) for name, c in counts.items()}
-                        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows.values()], list(rows))
+    def made(ours: pa.StructArray, theirs: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        items = numbers(theirs, "item")
+        order = np.argsort(items, kind="stable")
+        for at in range(0, len(order), TILE):
+            yield from tile(ours, theirs.take(pa.array(order[at : at + TILE])))
+
+    def tile(ours: pa.StructArray, theirs: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        qi, gi, qz, gz = numbers(ours, "item"), numbers(theirs, "item"), numbers(ours, "z").astype(float), numbers(theirs, "z").astype(float)
+        shown = numbers(theirs, "shown").astype(bool)
+        seen, unseen = (np.round(score(numbers(ours, "vec"), numbers(theirs, c)), PLACES) for c in ("seen", "unseen"))
+        other = qi[:, None] != gi[None, :]
+        near = (np.abs(gz[None, :] - qz[:, None]) / (1 + qz[:, None]) < reach) & other
+        far = other & ~near
+        beaten = ((seen > np.round(numbers(ours, "own"), PLACES)[:, None]) & other).sum(1)
+        for f in range(flips):
+            of = shown[:, f]
+            mixed = np.where(other, np.where(of[None, :], seen, unseen), -np.inf)
+            best = np.argsort(-mixed, axis=1, kind="stable")[:, :pool]
+            r = np.repeat(np.arange(len(qi)), best.shape[1])
+            c = best.ravel()
+            r, c = r[other[r, c]], c[other[r, c]]
+            n, empty = len(r), len(qi)
+            columns = [(np.concatenate([qi[r], qi]), pa.int64()), (np.full(n + empty, f), pa.int32())]
+            columns += [(values, kind) for values, kind in ((gi[c], pa.int64()), (mixed[r, c], pa.float64()), (of[c], pa.bool_()), (near[r, c], pa.bool_()))]
+            counts = [near.sum(1), (near & of).sum(1), far.sum(1), (far & of).sum(1), beaten if f == 0 else np.zeros(empty, np.int64)]
+            columns += [(np.concatenate([np.zeros(n, np.int64), x]), pa.int64()) for x in counts]
+            # rows of counts have no item
+            arrays = [pa.concat_arrays([pa.array(x, kind), pa.nulls(empty, kind)]) if len(x) == n and empty else pa.array(x, kind) for x, kind in columns]
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCHEMA.split(", ")])
 
     def one(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         return [score(a, b)]
 
     own = pair_scores(queries.select("item", F.col("vec").alias("a")).join(gallery.select("item", F.col("unseen").alias("b")), "item"), one)
     asked = queries.join(own.select("item", F.col("own")[0].alias("own")), "item")
-    found = met(tiles(asked, block, "vec", "z", "own")[0], *tiles(gallery, block, "seen", "unseen", "z", "shown")).mapInArrow(run, SCHEMA)
+    found = met(asked.select("item", "vec", "z", "own"), gallery.select("item", "seen", "unseen", "z", "shown"), made, SCHEMA, block)
 
     # a flip's counts and its tiles' best rows in one shuffle; rows of counts have no item and come behind all places
     place = F.row_number().over(Window.partitionBy("q", "flip").orderBy(F.desc_nulls_last("score"), "item"))

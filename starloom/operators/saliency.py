@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.linear import met, tiles
+from starloom.operators.linear import met, numbers
 from starloom.sources.shared import stored
 
 #: Other items that a saliency at any position looks at.
@@ -63,19 +63,16 @@ def sampled(items: DataFrame, queries: DataFrame, size: int = SAMPLE, block: int
     bound = int(min(1 << 32, (1 << 32) * (size + 8 * size**0.5 + 8) / max(1, n)))
 
     def drawn(queries: DataFrame, bound: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    q, found = (batch.column(i)[k].values.field("item").to_numpy(zero_copy_only=False) for i in (0, 1))
-                    found = np.sort(found)
-                    draw = draws(q, found).astype(np.int64)
-                    draw[q[:, None] == found[None, :]] = 1 << 40
-                    best = np.argsort(draw, axis=1, kind="stable")[:, :size]
-                    least = np.take_along_axis(draw, best, 1)
-                    kept = least < bound
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, kept.sum(1))), pa.array(found[best][kept]), pa.array(least[kept])], ["q", "item", "draw"])
-
-        pairs = met(tiles(queries, block)[0], *tiles(items, block)).mapInArrow(run, "q long, item long, draw long")
+        def made(ours: pa.StructArray, theirs: pa.StructArray) -> Iterator[pa.RecordBatch]:
+            q, found = numbers(ours, "item"), np.sort(numbers(theirs, "item"))
+            draw = draws(q, found).astype(np.int64)
+            draw[q[:, None] == found[None, :]] = 1 << 40
+            best = np.argsort(draw, axis=1, kind="stable")[:, :size]
+            least = np.take_along_axis(draw, best, 1)
+            kept = least < bound
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, kept.sum(1))), pa.array(found[best][kept]), pa.array(least[kept])], ["q", "item", "draw"])
+
+        pairs = met(queries.select("item"), items.select("item"), made, "q long, item long, draw long", block)
         nth = F.row_number().over(Window.partitionBy("q").orderBy("draw", "item"))
         return pairs.withColumn("nth", nth).where(F.col("nth") <= size).select("q", "item")
 
