@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,13 +28,32 @@ def some(values: Column, count: int, seed: int, item: Column) -> Column:
 
 
 def cells(total: int, count: int, seed: int, item: Column) -> Column:
-    """`count` different cells of 0 to total - 1."""
-    return some(F.sequence(F.lit(0), F.lit(total - 1)), count, seed, item)
+    """`count` different cells of 0 to total - 1: some() of them, hashed from a batch of items at a time."""
+    suffixes = [str(v).encode() for v in range(total)]
+
+    @F.pandas_udf("array<long>")
+    def drawn(items):  # noqa: ANN001, ANN202
+        import hashlib
+
+        import pandas as pd
+
+        out = []
+        for item in items:
+            begun = hashlib.md5(f"{seed}:{item}:".encode())
+            words = []
+            for v, suffix in enumerate(suffixes):
+                word = begun.copy()
+                word.update(suffix)
+                words.append((word.digest(), v))
+            out.append(sorted(v for _, v in heapq.nsmallest(count, words)))
+        return pd.Series(out)
+
+    return drawn(F.coalesce(item.cast("string"), F.lit("")))
 
 
 def window(values: Column, width: int, seed: int, item: Column) -> Column:
     """`width` of an array's different values that follow each other in rising order, each place equally likely; all if there are fewer."""
-    ordered = F.array_sort(F.array_distinct(F.array_compact(values)))
+    ordered = F.sort_array(F.array_distinct(F.array_compact(values)))
     places = F.greatest(F.size(ordered) - width, F.lit(0)) + 1
     return F.slice(ordered, F.floor(uniform(seed, item) * places).cast("int") + 1, width)
 
