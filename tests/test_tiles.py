@@ -43,7 +43,7 @@ def test_nearest_and_places_with_copies(spark, vectors, monkeypatch, sizes):
     assert set(found) == set(range(0, len(rows), 4))
     for q, near in found.items():
         assert [near[k + 1][0] for k in range(9)] == want[q][:9].tolist()
-        assert [-near[k + 1][1] for k in range(9)] == far(rows)[q][want[q][:9]].tolist()
+        assert [round(-near[k + 1][1], 9) for k in range(9)] == far(rows)[q][want[q][:9]].tolist()
     asked = spark.createDataFrame([(q, i) for q in (0, 4, 60) for i in (1, 40, 66, 95)], "q long, item long")
     for r in ranks.distance_ranks(df.where("item % 4 = 0"), df, asked).collect():
         assert r["place"] == want[r["q"]].tolist().index(r["item"]) + 1
