@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from starloom.sources.shared import stored
 
 #: Ranges that the values of a score are cut into, and places to which scores are compared.
 RANGES, PLACES = 256, 9
+#: Hits that a task holds, 16 bytes each, and rows of the gallery that meet its queries at a time.
+HITS, STREAM = 1 << 25, 4096
 #: Sides of a measured value: above its upper tercile, under its lower one; each is the other's opposite.
 SIDES = {"high": "low", "low": "high"}
 
@@ -53,6 +57,102 @@ def average_precision(rows: DataFrame, by: str, score: str, sides: list[str]) ->
     return parts.groupBy(by).agg(*[F.sum(s).alias(s) for s in sides])
 
 
+@dataclass
+class _Held:
+    """What a task knows of its queries: their hits' scores and places in the stream, the first of query i at starts[i], and the rows before each.
+
+    Of each query the hits so far; of all the rows that streamed by, both times.
+    """
+
+    starts: np.ndarray
+    score: np.ndarray
+    place: np.ndarray
+    before: np.ndarray
+    filled: np.ndarray
+    seen: int = 0
+
+    def add(self, keys: np.ndarray, hit: np.ndarray) -> None:
+        r, c = np.nonzero(hit)
+        each = hit.sum(1)
+        first = np.cumsum(each) - each
+        at = self.starts[r] + self.filled[r] + np.arange(len(r)) - first[r]
+        self.score[at], self.place[at] = keys[r, c], self.seen + c
+        self.filled += each
+
+    def order(self) -> None:
+        for i in range(len(self.filled)):
+            here = slice(self.starts[i], self.starts[i] + self.filled[i])
+            by = np.argsort(self.score[here], kind="stable")  # the stream comes by item, so equal ones stay by item
+            self.score[here], self.place[here] = self.score[here][by], self.place[here][by]
+
+    def count(self, keys: np.ndarray, out: np.ndarray, start: int) -> None:
+        """Each row that is not `out` counts before the first hit behind it; `start` is the first row's place in the stream."""
+        keys = np.where(out, np.inf, keys)
+        for i in range(len(keys)):
+            n, first = self.filled[i], self.starts[i]
+            if not n:
+                continue
+            hits, x = self.score[first : first + n], np.sort(keys[i])
+            at = np.searchsorted(hits, x)
+            if (hits.take(at, mode="clip") == x).any():  # equal scores go by item
+                x = keys[i]
+                at, high = np.searchsorted(hits, x), np.searchsorted(hits, x, "right")
+                mine = start + np.arange(len(x))
+                while (open_ := np.flatnonzero(at < high)).size:
+                    middle = (at[open_] + high[open_]) // 2
+                    less = self.place[first + middle] < mine[open_]
+                    at[open_], high[open_] = np.where(less, middle + 1, at[open_]), np.where(less, high[open_], middle)
+                at = np.sort(at)
+            at = at[: np.searchsorted(at, n)]  # what comes behind all hits
+            edge = np.flatnonzero(np.diff(at, prepend=-1))
+            self.before[first + at[edge]] += np.diff(edge, append=len(at))
+
+
+def label_precision(queries: DataFrame, gallery: DataFrame, top: int = 10) -> DataFrame:
+    """(q, ap, best): mean precision over the rows of gallery (item, vec, label) with a query's label, by their product, and the share of those among the `top`.
+
+    Products are compared to PLACES places, equal ones by item; self is left out, no label is like none. A task holds a block
+    of queries (item, vec, label); the gallery streams by twice: at first the hits of the block are kept, then all other rows are counted
+    between them. What is held is a number of hits for each task, so blocks are smaller where labels are larger; no ranking is made whole.
+    """
+    sizes = gallery.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("hits"))
+    held = stored(queries.select("item", "vec", "label").join(sizes, "label", "left").select("item", "vec", "label", F.coalesce("hits", F.lit(0)).alias("hits")))
+    cells = held.agg(F.sum("hits")).first()[0] or 0
+    rows = gallery.count()
+
+    def made(ours: pa.StructArray, theirs: pa.StructArray, state: _Held | None) -> _Held:
+        qi, q, label = (linear.numbers(theirs, c) for c in ("item", "vec", "label"))
+        if state is None:
+            hits = linear.numbers(theirs, "hits")
+            total = int(hits.sum())
+            state = _Held(np.cumsum(hits) - hits, np.zeros(total), np.zeros(total, np.int32), np.zeros(total, np.int32), np.zeros(len(qi), np.int64))
+        gi, g, other = (linear.numbers(ours, c) for c in ("item", "vec", "label"))
+        keys = 0.0 - np.round(q.astype(np.float64) @ g.astype(np.float64).T, PLACES)
+        own = qi[:, None] == gi[None, :]
+        hit = (label[:, None] == other[None, :]) & ~own
+        if state.seen < rows:
+            state.add(keys, hit)
+        else:
+            if state.seen == rows:
+                state.order()
+            state.count(keys, hit | own, state.seen - rows)
+        state.seen += len(gi)
+        return state
+
+    def ended(state: _Held, theirs: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        ap, best = [], []
+        for first, n in zip(state.starts, state.filled):
+            nth = np.arange(1, n + 1)
+            rank = np.cumsum(state.before[first : first + n], dtype=np.int64) + nth
+            ap.append(float((nth / rank).mean()) if n else None)
+            best.append(float((rank <= top).sum() / top))
+        yield pa.RecordBatch.from_arrays([theirs.field("item"), pa.array(ap, pa.float64()), pa.array(best, pa.float64()), pa.array([rows] * len(ap))], ["q", "ap", "best", "n"])
+
+    count = linear.held_blocks(held, cells, HITS)
+    found = linear.met(gallery.select("item", "vec", "label"), held, made, "q long, ap double, best double, n long", ended=ended, count=count, stream=STREAM, times=2)
+    return found.where("n > 1").drop("n")
+
+
 def terciles(rows: DataFrame, value: str) -> dict[str, Column]:
     """high, low and known of a measured value; the terciles are interpolated quantiles of what is known."""
     finite = F.col(value).isNotNull() & ~F.isnan(value)

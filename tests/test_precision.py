@@ -91,3 +91,24 @@ def test_edits_lie_on_both_sides_of_the_middle():
     first, second, steps = np.eye(3)[0], np.eye(3)[1], np.eye(3)[2:]
     plus, minus = precision.edited(first, second, steps)
     assert np.allclose([np.linalg.norm(plus), np.linalg.norm(minus)], 1) and np.allclose(plus[:2], minus[:2]) and np.allclose(plus[2], -minus[2])
+
+
+@pytest.mark.parametrize("hits, stream", [(40, 7), (1 << 25, 4096)])
+def test_label_precision(spark, monkeypatch, hits, stream):
+    monkeypatch.setattr(precision, "HITS", hits)
+    monkeypatch.setattr(precision, "STREAM", stream)
+    made = np.random.default_rng(3).integers(-2, 3, (80, 3)).astype(float)  # many equal products
+    labels = [None if i % 11 == 0 else 99 if i == 40 else int(i % 4 == 1) for i in range(80)]
+    rows = spark.createDataFrame([(i, x.tolist(), y) for i, (x, y) in enumerate(zip(made, labels, strict=True))], "item long, vec array<float>, label int").repartition(5)
+    df = precision.label_precision(rows.where("item % 4 < 2"), rows, 5)
+    found = {r["q"]: (r["ap"], r["best"]) for r in df.collect()}
+    assert set(found) == {i for i in range(80) if i % 4 < 2}
+    for q, (ap, best) in found.items():
+        order = sorted((i for i in range(80) if i != q), key=lambda i: (-float(made[i] @ made[q]), i))
+        same = [labels[i] is not None and labels[i] == labels[q] for i in order]
+        ranks_ = [k for k, s in enumerate(same, 1) if s]
+        assert best == sum(same[:5]) / 5
+        assert ap is None if not ranks_ else math.isclose(ap, sum(n / k for n, k in enumerate(ranks_, 1)) / len(ranks_), abs_tol=1e-12)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert precision.label_precision(rows.where("item = 1"), rows.where("item = 1")).count() == 0
