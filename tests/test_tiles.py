@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starloom import evaluators, extras, factored, probes, queries, searches
-from starloom.operators import linear, ranks
+from starloom.operators import grams, linear, ranks
 
 D = "/root/testdata/sf0.001"
 
@@ -82,3 +82,12 @@ def test_the_saliency_of_a_set_makes_no_row_for_a_pair(spark):
 def test_no_query_makes_a_row_for_each_pair(spark, f):
     text = plan(f(spark, D))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_equal_sides_leave_a_block_once(spark, vectors):
+    df, rows = vectors
+    sides = df.select("item", F.col("vec").alias("dist"), F.array(F.lit(1.0)).alias("x"))
+    found = grams.applied(sides, sides, lambda a, b: [a[:, 0] @ b[:, 0].T], 1, 1)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    y = {r["item"]: r["y"][0] for r in found.collect()}
+    assert np.allclose([y[i] for i in range(len(rows))], (rows @ rows.T).sum(1))
