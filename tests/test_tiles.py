@@ -49,6 +49,18 @@ def test_nearest_and_places_with_copies(spark, vectors, monkeypatch, sizes):
         assert r["place"] == want[r["q"]].tolist().index(r["item"]) + 1
 
 
+def test_a_block_keeps_the_bound_of_its_tiles():
+    rng = np.random.default_rng(3)
+    tiles = [np.round(rng.standard_normal((7, n)), 1) for n in (2, 3, 40, 1, 25)]
+    top = np.full((7, 4), -np.inf)
+    for t, tile in enumerate(tiles):
+        least = top.min(1)
+        r, c = np.nonzero(tile >= least[:, None])
+        top = linear._raised(top, least, r, tile[r, c])
+        every = np.concatenate([np.full((7, 4), -np.inf), *tiles[: t + 1]], axis=1)
+        assert (np.sort(top, axis=1) == np.sort(every, axis=1)[:, -4:]).all()
+
+
 def test_no_tile_is_broadcast(spark, vectors):
     df, rows = vectors
     assert "BroadcastExchange" not in plan(linear.gram_top(df.where("item % 4 = 0"), df, 3))
