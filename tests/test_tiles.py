@@ -61,6 +61,18 @@ def test_a_block_keeps_the_bound_of_its_tiles():
         assert (np.sort(top, axis=1) == np.sort(every, axis=1)[:, -4:]).all()
 
 
+def test_each_block_has_a_task(spark):
+    rows = linear.dealt(spark.range(200).select("id", (F.col("id") % 10).cast("int").alias("block")), 10)
+    found = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("block").alias("n")).collect()
+    assert len(found) == 10 and {r["n"] for r in found} == {1}
+
+
+def test_codes_below_the_top_share_what_is_left(spark):
+    rows = spark.createDataFrame([(1, [0.1, 0.3, 0.3, 0.1, 0.05, 0.05, 0.05, 0.05] * 2)], "item long, vec array<double>")
+    found = searches.flat_below(rows, 3).first()["vec"]
+    assert np.allclose(found, [0.1, 0.3, 0.3, 0.06, 0.06, 0.06, 0.06, 0.06] * 2)
+
+
 def test_no_tile_is_broadcast(spark, vectors):
     df, rows = vectors
     assert "BroadcastExchange" not in plan(linear.gram_top(df.where("item % 4 = 0"), df, 3))
@@ -83,6 +95,7 @@ def test_rows_of_pairs_are_not_shuffled(spark, name):
     text = plan(queries.QUERIES[name](spark, D))
     last = text.split("== Initial Plan ==")[0]
     assert "CartesianProduct" not in last and "NestedLoop" not in last and "Aggregate" not in last and last.count("Exchange hashpartitioning") == 1
+    assert last.count("Generate explode") <= 1  # of a pack to all blocks: the rows of a pair leave their tile as rows
 
 
 def test_the_saliency_of_a_set_makes_no_row_for_a_pair(spark):
