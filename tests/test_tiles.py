@@ -116,3 +116,17 @@ def test_equal_sides_leave_a_block_once(spark, vectors):
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
     y = {r["item"]: r["y"][0] for r in found.collect()}
     assert np.allclose([y[i] for i in range(len(rows))], (rows @ rows.T).sum(1))
+
+
+def test_gram_means_join_no_tiles(spark, monkeypatch):
+    assert "Join" not in plan(factored.b7_slot_grams(spark, D))
+    rng = np.random.default_rng(2)
+    p = rng.random((150, 3, 4)) ** 8
+    p[::9] = np.eye(4)[rng.integers(0, 4, (len(p[::9]), 3))]  # overlaps of 0, which are floored
+    p /= p.sum(2, keepdims=True)
+    for piece in ((64, 256), (7, 5)):
+        monkeypatch.setattr(grams, "PIECE", piece)
+        rows, columns = grams.tile_sums(p[:60], p[60:])
+        same, forward, backward = grams.three_ways(p[:60], p[60:])
+        assert np.allclose(rows, [m.sum(1) for m in (same, forward, backward)], rtol=1e-11)
+        assert np.allclose(columns, [m.sum(0) for m in (same, backward, forward)], rtol=1e-11)
