@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def shuffled(spark, df):
     return written() - before
 
 
-@pytest.mark.parametrize("name", ["v20_direction_search_set"])
+@pytest.mark.parametrize("name", ["v20_direction_search_set", "v19_saliency_set", "v17_mode_search_set"])
 def test_a_search_sends_a_few_times_its_table(spark, name):
     assert shuffled(spark, lambda: queries.QUERIES[name](spark, D)) < 4 * os.path.getsize(f"{D}/embeddings.parquet")
 
@@ -42,3 +43,15 @@ def test_parts_belong_to_their_pairs(spark, monkeypatch):
     assert len(found) == 24
     for r in found:
         assert np.allclose(r["parts"], at[r["q"]] * at[r["item"]]) and np.isclose(sum(r["parts"]), r["score"])
+
+
+def test_a_tile_makes_what_packed_makes(spark):
+    def opened(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(searches.shares(batch.to_struct_array())))], ["item", "made"])
+
+    rows = searches.floats(spark, D).limit(300).withColumn("more", F.array(F.col("item").cast("double")))
+    found = rows.mapInArrow(opened, "item long, made array<double>").join(searches.packed(spark, D).select("item", F.flatten("dist").alias("dist")), "item").collect()
+    assert len(found) == 300
+    for r in found:
+        assert np.allclose(r["made"][:-1], r["dist"], rtol=1e-14, atol=0) and r["made"][-1] == r["item"]
