@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starloom import evaluators, extras, factored, probes, queries, searches
-from starloom.operators import grams, linear, ranks
+from starloom.operators import grams, linear, ranks, similarity
 
 D = "/root/testdata/sf0.001"
 
@@ -130,3 +130,22 @@ def test_gram_means_join_no_tiles(spark, monkeypatch):
         same, forward, backward = grams.three_ways(p[:60], p[60:])
         assert np.allclose(rows, [m.sum(1) for m in (same, forward, backward)], rtol=1e-11)
         assert np.allclose(columns, [m.sum(0) for m in (same, backward, forward)], rtol=1e-11)
+
+
+def test_a_mask_leaves_its_tile_as_one_number_and_counts_floored_overlaps(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = rng.normal(0, 0.3, (60, 64)).astype(np.float32)
+    rows[::3] = 0
+    rows[::3, ::8] = rng.choice([-40, 40], (20, 8))  # one code or none: overlaps under the floor
+    rows[1::9] = 0  # all slots alike, so that the middle of equal logs is each of them
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(rows)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    e = np.exp(4.0 * rows.astype(np.float64)).reshape(60, 8, 8)
+    p = e / e.sum(2, keepdims=True)
+    lo = np.log(np.maximum(np.einsum("qsc,isc->qis", p[::20], p), similarity.FLOOR))
+    assert (lo == np.log(similarity.FLOOR)).any()
+    want = (lo >= (lo.min(1, keepdims=True) + lo.max(1, keepdims=True)) / 2 - 1e-13) != (np.arange(8) == 3)
+    df = searches.p17_threshold_mask_set(spark, str(tmp_path))
+    got = df.collect()
+    assert len(got) == want.size and df.columns == ["q", "item", "slot", "shown"]
+    assert all(r["shown"] == want[r["q"] // 20, r["item"], r["slot"]] for r in got)
+    assert "Generate posexplode" in plan(df)
